@@ -9,10 +9,11 @@ distance. At a similarity of 0.8 the distance of 15 of 32 is passed with a proba
 even then the keys miss only if all chunks differ in two symbols (about 1e-6).
 
 Groups are not expanded into pairs. First the smallest class under each key is compared with the
-others under it (a star). Links are confirmed on full sets and give components. Only classes under a
-key that are not yet in one component are then paired with each other, if their sizes and signatures
-allow a link, so no link between different components is lost and a group of thousands costs as many
-comparisons as it has members.
+others under it (a star), then the class with most links with those in other components. Links are
+confirmed on full sets and give components. Only classes under a key that are not in one component
+even then are paired with each other, where sizes, signatures and parity sketches allow a link. The
+last is a bound that never fails, so no link between different components is lost, and a group of
+thousands costs about as many comparisons as it has members.
 
 Cases: a null text, an empty one, or one without words has an empty set, linked with nothing; a text
 with fewer words than a shingle has its whole word sequence as its one shingle; rows with one doc_id
@@ -34,6 +35,8 @@ from panoquarry.llm.components import components
 from panoquarry.llm.runtime import Scratch
 
 SYMBOLS = 32
+#: Bits of the parity sketch of a set, in words of 64.
+PARITY = 16
 CHUNK = 4
 CHUNKS = SYMBOLS // CHUNK
 MOST_DIFFER = 2 * CHUNKS - 1
@@ -80,13 +83,25 @@ def _signatures(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def _parities(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each set, which of 64 * PARITY buckets hold an odd number of its hashes. Sketches of two
+    sets differ in no more bits than the sets differ in members."""
+    bit = (mix(values ^ U(0x2545F4914F6CDD1D)) & U(64 * PARITY - 1)).astype(np.int64)
+    word, one = bit >> 6, U(1) << (bit & 63).astype(U)
+    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    out = np.zeros(((len(first) - 1) * PARITY), dtype=U)
+    np.bitwise_xor.at(out, owner * PARITY + word, one)
+    return out.reshape(-1, PARITY)
+
+
 def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
 def described(docs: DataFrame, n_words: int) -> DataFrame:
-    """doc_id, n_shingles, s1 and s2 (128 bits that stand for the set), c0.. (signature; null for an
-    empty set)."""
+    """doc_id, n_shingles, s1 and s2 (128 bits that stand for the set), c0.. (signature), p0.. (parity
+    sketch)."""
+    names = [f"c{c}" for c in range(CHUNKS)] + [f"p{c}" for c in range(PARITY)]
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
@@ -102,9 +117,10 @@ def described(docs: DataFrame, n_words: int) -> DataFrame:
                         sums.append(x[first[1:]] - x[first[:-1]])
                     signature = np.zeros((hi - lo, CHUNKS), dtype=U)
                     signature[some] = _signatures(values, first)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), *map(_long, sums), *(_long(np.ascontiguousarray(signature[:, c])) for c in range(CHUNKS))], ["doc_id", "n_shingles", "s1", "s2", *(f"c{c}" for c in range(CHUNKS))])
+                    sketch = np.concatenate([signature, _parities(values, first)], axis=1)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), *map(_long, sums), *(_long(np.ascontiguousarray(sketch[:, c])) for c in range(len(names)))], ["doc_id", "n_shingles", "s1", "s2", *names])
 
-    return _input(docs).mapInArrow(describe, "doc_id long, n_shingles long, s1 long, s2 long, " + ", ".join(f"c{c} long" for c in range(CHUNKS)))
+    return _input(docs).mapInArrow(describe, "doc_id long, n_shingles long, s1 long, s2 long, " + ", ".join(f"{c} long" for c in names))
 
 
 def _input(docs: DataFrame) -> DataFrame:
@@ -136,14 +152,20 @@ def _keys() -> Column:
     return F.array(*out)
 
 
-def _differ(a: str, b: str) -> Column:
-    """In how many symbols two signatures differ."""
-    total = F.lit(0)
+def _may_link(a: str, b: str, percent: int) -> Column:
+    """What holds for all links between classes a and b (n, c0.., p0..): sizes, the distance of the
+    signatures, and the distance of the parity sketches, which is at most that of the sets."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    apart = F.lit(0)
+    for c in range(PARITY):
+        apart = apart + F.bit_count(F.col(f"{a}.p{c}").bitwiseXOR(F.col(f"{b}.p{c}")))
+    differ = F.lit(0)
     for c in range(CHUNKS):
         x = F.col(f"{a}.c{c}").bitwiseXOR(F.col(f"{b}.c{c}"))
         for j in range(CHUNK):
-            total = total + F.when(F.shiftrightunsigned(x, 16 * j).bitwiseAND(F.lit(0xFFFF)) != 0, 1).otherwise(0)
-    return total
+            differ = differ + F.when(F.shiftrightunsigned(x, 16 * j).bitwiseAND(F.lit(0xFFFF)) != 0, 1).otherwise(0)
+    # |A ^ B| = |A| + |B| - 2 |A & B|, and a link has |A & B| >= percent / (100 + percent) * (|A| + |B|)
+    return _similar_sizes(n, m, percent) & ((100 + percent) * apart <= (100 - percent) * (n + m)) & (differ <= MOST_DIFFER)
 
 
 def _similar_sizes(a: Column, b: Column, percent: int) -> Column:
@@ -184,33 +206,50 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, n_words: int = 5, perc
     scratch = Scratch(spark, "near")
     told = scratch.keep(described(docs, n_words), "told")
     some = told.filter("n_shingles > 0 and doc_id is not null")
-    signature = [f"c{c}" for c in range(CHUNKS)]
+    sketch = [f"c{c}" for c in range(CHUNKS)] + [f"p{c}" for c in range(PARITY)]
     # a row for each different set, and the smallest doc_id that has it
-    classes = scratch.keep(some.groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), *(F.first(c).alias(c) for c in signature)), "classes")
-    keyed = scratch.keep(classes.select("id", "n", F.explode(_keys()).alias("key")), "keyed")
+    classes = scratch.keep(some.groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), *(F.first(c).alias(c) for c in sketch)), "classes")
+    keyed = scratch.keep(classes.select("id", F.explode(_keys()).alias("key")), "keyed")
     least = keyed.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("last")).filter("a != last").select("key", "a")
     shared = scratch.keep(keyed.join(least, "key"), "shared")
     scratch.drop("keyed")
+    described_ = classes.select("id", "n", *sketch)
+
+    def test(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs that may link, and are then confirmed or not."""
+        x, y = described_.alias("x"), described_.alias("y")
+        met = pairs.alias("p").join(x, F.col("p.a") == F.col("x.id")).join(y, F.col("p.b") == F.col("y.id")).filter(_may_link("x", "y", percent))
+        return _confirmed(scratch.keep(met.select("a", "b"), f"{name}-pairs"), docs, n_words, percent, scratch, name)
+
     # stars: the smallest class under a key with each other one
-    sizes = classes.select(F.col("id").alias("a"), F.col("n").alias("na"), *(F.col(c) for c in signature))
-    stars = shared.filter("a != id").select("a", F.col("id").alias("b"), "n").distinct()
-    stars = stars.alias("p").join(sizes.alias("x"), "a").filter(_similar_sizes(F.col("n"), F.col("na"), percent))
-    stars = stars.join(classes.alias("y"), F.col("p.b") == F.col("y.id")).filter(_differ("x", "y") <= MOST_DIFFER)
-    stars = scratch.keep(stars.select("a", "b").distinct(), "stars")
-    links = _confirmed(stars, docs, n_words, percent, scratch, "first")
+    links = test(shared.filter("a != id").select("a", F.col("id").alias("b")).distinct(), "first")
     labels = components(links, scratch, "first")
-    # classes under a key that are in different components so far, with each other
-    open_ = shared.join(labels, "id", "left").select("key", "id", "n", F.coalesce("label", "id").alias("label"))
-    split = open_.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("key")
-    rest = open_.join(split, "key").join(classes.select("id", *signature), "id")
-    x, y = rest.alias("x"), rest.alias("y")
-    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.label") != F.col("y.label")) & _similar_sizes(F.col("x.n"), F.col("y.n"), percent) & (_differ("x", "y") <= MOST_DIFFER))
-    cross = cross.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    cross = scratch.keep(cross.join(stars, ["a", "b"], "left_anti"), "cross")
-    scratch.drop("shared", "stars")
-    if cross.take(1):
-        links = links.unionByName(_confirmed(cross, docs, n_words, percent, scratch, "second"))
+    # once more from the best linked class under each key, to those in other components
+    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
+    open_ = shared.join(labels.join(degree, "id"), "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"), F.coalesce("degree", F.lit(0)).alias("degree"))
+    hubs = open_.groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("id"), "label")).alias("hub"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi and hub.degree > 0")
+    hubs = open_.join(hubs.select("key", "hub"), "key").filter(F.col("label") != F.col("hub.label"))
+    more = test(hubs.select((-F.col("hub.id")).alias("a"), F.col("id").alias("b")).distinct(), "second")
+    if more.take(1):
+        links = links.unionByName(more)
         labels = components(links, scratch, "second")
+    # classes under a key that are in different components even so, with each other
+    open_ = shared.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
+    sizes = open_.groupBy("key", "label").agg(F.count("*").alias("n"))
+    split = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("major"), F.count("*").alias("labels")).filter("labels > 1")
+    rest = open_.join(split.select("key", F.col("major.label").alias("major")), "key").join(described_, "id")
+    # one side has those outside the largest component under the key, so its members never meet
+    x, y = rest.filter("label != major").alias("x"), rest.alias("y")
+    apart = (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.major")) | (F.col("x.id") < F.col("y.id")))
+    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & _may_link("x", "y", percent))
+    cross = cross.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+    tested = scratch.read("first-pairs", "a long, b long").unionByName(scratch.read("second-pairs", "a long, b long"))
+    tested = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    cross = scratch.keep(cross.join(tested, ["a", "b"], "left_anti"), "cross")
+    scratch.drop("shared")
+    if cross.take(1):
+        links = links.unionByName(_confirmed(cross, docs, n_words, percent, scratch, "third"))
+        labels = components(links, scratch, "third")
     # members: a class's doc_ids are all linked with its smallest; then components of classes
     member = some.select("s1", "s2", "doc_id").distinct().join(classes.select("s1", "s2", "id"), ["s1", "s2"])
     class_label = member.join(labels, "id", "left").select("doc_id", F.coalesce("label", "id").alias("label"))
@@ -218,7 +257,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, n_words: int = 5, perc
     per_doc = class_label.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other"))
     merged = scratch.keep(class_label.join(per_doc.filter("label != other").select("doc_id", F.col("label").alias("a")), "doc_id").select("a", F.col("label").alias("b")).distinct(), "merged")
     if merged.take(1):
-        tops = components(merged, scratch, "third").select(F.col("id").alias("label"), F.col("label").alias("top"))
+        tops = components(merged, scratch, "fourth").select(F.col("id").alias("label"), F.col("label").alias("top"))
         per_doc = per_doc.join(tops, "label", "left").select("doc_id", F.coalesce("top", "label").alias("label"))
     # the smallest doc_id of a component is the smallest id of its classes, or of their labels
     out = told.select("doc_id", "n_shingles").join(per_doc.select("doc_id", "label"), "doc_id", "left")

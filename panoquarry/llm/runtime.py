@@ -41,6 +41,9 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def read(self, name: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
+
     def drop(self, *names: str) -> None:
         """Delete tables, and let Spark remove the shuffle files of plans that are done with."""
         for name in names:
