@@ -8,8 +8,9 @@ by one:
 1. Keys are counted over all segments. A segment whose key is alone repeats nowhere and goes.
 2. Segments that are equal as a whole repeat as a whole. All inner segments of a repeat are such,
    because keys depend on nothing but the bytes around.
-3. Only segments under one key that differ (the two ends of a repeat) are opened: one of each kind
-   is hashed window by window, and windows counted.
+3. Only segments under one key that differ (the two ends of a repeat) are opened: the bytes of one
+   of each kind meet by key, and their windows are hashed and compared. Where a key has over MANY
+   kinds, its windows are dealt out and counted by Spark instead.
 
 Keys, segments and windows are counted by partial aggregates, so a passage in a third of all
 documents is one key like any other. A segment where the least hash stands at two places (as in
@@ -37,6 +38,8 @@ from panoquarry.llm.runtime import Scratch
 
 LENGTH = 200
 GRAM = 56
+#: Pieces under one key that a task compares at once; keys of more are counted window by window.
+MANY = 1000
 
 
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -105,24 +108,75 @@ def segments(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return _input(docs).mapInArrow(find, "doc_id long, h long, key long, seg long, s int, e int, self boolean")
 
 
-def _windows(docs: DataFrame, opened: DataFrame, length: int) -> DataFrame:
-    """window (a hash), doc_id, h, p of every window of the opened segments (doc_id, h, runs)."""
+def _pieces(docs: DataFrame, opened: DataFrame, length: int) -> DataFrame:
+    """key, seg, piece: the bytes of the opened segments (doc_id, h, runs of s, e, key, seg)."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                data, _ = buffers(batch.column(0).slice(row, 1))
+                whole, runs = data.tobytes(), batch.column(1)[row].values
+                first, last, key, seg = (runs.field(i) for i in range(4))
+                parts = [whole[s : e + length] for s, e in zip(first.to_pylist(), last.to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([key, seg, pa.array(parts, pa.binary())], ["key", "seg", "piece"])
+
+    d, o = _input(docs).alias("d"), opened.alias("o")
+    met = d.join(o, F.col("d.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("d.h") == F.col("o.h"))).select("d.text", "runs")
+    return met.mapInArrow(find, "key long, seg long, piece binary").dropDuplicates(["key", "seg"])
+
+
+def _hashed(pieces: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the windows of pieces, and each one's piece and place there."""
+    data, at = buffers(pieces)
+    n = np.diff(at) - length + 1
+    own = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+    start = at[own] + place
+    return Ranges(data).of(start, start + length), own, place
+
+
+def _as_runs(own: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Piece, first and last place of each run of places; both are in order."""
+    new = np.ones(len(own), dtype=bool)
+    new[1:] = (own[1:] != own[:-1]) | (place[1:] != place[:-1] + 1)
+    first = np.flatnonzero(new)
+    return own[first], place[first], place[np.concatenate([first[1:] - 1, [len(own) - 1]]).astype(np.int64)] if len(own) else place
+
+
+_RUNS = "key long, seg long, a int, b int"
+
+
+def _within_keys(pieces: DataFrame, length: int) -> DataFrame:
+    """Runs (_RUNS) of windows that stand twice among the pieces of a key: one row for each key."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
                 for row in range(batch.num_rows):
-                    data, _ = buffers(batch.column(2).slice(row, 1))
-                    runs = batch.column(3)[row].values
-                    first, last = (runs.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
-                    n = last - first + 1
-                    p = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                    own = pa.array(np.full(len(p), row))
-                    yield pa.RecordBatch.from_arrays([pa.array(Ranges(data).of(p, p + length).view(np.int64)), batch.column(0).take(own), batch.column(1).take(own), pa.array(p.astype(np.int32))], ["window", "doc_id", "h", "p"])
+                    group = batch.column(1)[row].values
+                    hashes, own, place = _hashed(group.field(1), length)
+                    _, inverse, times = np.unique(hashes, return_inverse=True, return_counts=True)
+                    again = np.flatnonzero(times[inverse] > 1)
+                    piece, first, last = _as_runs(own[again], place[again])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(piece), batch.column(0)[row].as_py(), dtype=np.int64)), group.field(0).take(pa.array(piece)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], ["key", "seg", "a", "b"])
 
-    d, o = _input(docs).alias("d"), opened.alias("o")
-    met = d.join(o, F.col("d.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("d.h") == F.col("o.h"))).select("d.*", "runs")
-    return met.mapInArrow(find, "window long, doc_id long, h long, p int")
+    grouped = pieces.groupBy("key").agg(F.collect_list(F.struct("seg", "piece")).alias("group"))
+    return grouped.mapInArrow(find, _RUNS)
+
+
+def _across(pieces: DataFrame, length: int) -> DataFrame:
+    """The same for keys of very many pieces: a row for each window, counted by Spark."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                hashes, own, place = _hashed(batch.column(2), length)
+                own = pa.array(own)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), batch.column(0).take(own), batch.column(1).take(own), pa.array(place.astype(np.int32))], ["window", "key", "seg", "a"])
+
+    windows = pieces.mapInArrow(find, "window long, key long, seg long, a int")
+    again = windows.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1").select("window")
+    return windows.join(again, "window").select("key", "seg", "a", F.col("a").alias("b"))
 
 
 def _cut(docs: DataFrame, marks: DataFrame, length: int) -> DataFrame:
@@ -164,13 +218,16 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, g
     scratch.drop("segments")
     kinds = hits.groupBy("key", "seg").agg(F.count("*").alias("n"), F.max("mixed").alias("mixed"), F.min(F.struct("doc_id", "h", "s", "e")).alias("one"))
     kinds = scratch.keep(kinds, "kinds")
-    twice = kinds.filter("n > 1").select("key", "seg")
-    whole = hits.join(twice, ["key", "seg"]).select("doc_id", "h", "s", "e")
-    opened = kinds.filter("mixed").select("one.*", "n")
-    runs = scratch.keep(opened.groupBy("doc_id", "h").agg(F.collect_set(F.struct("s", "e")).alias("runs")), "opened")
-    windows = scratch.keep(_windows(docs, scratch.sized(runs, "opened"), length).distinct(), "windows")
-    again = windows.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1").select("window")
-    parts = windows.join(again, "window").select("doc_id", "h", F.col("p").alias("s"), F.col("p").alias("e"))
-    marks = scratch.keep(whole.unionByName(parts).groupBy("doc_id", "h").agg(F.collect_set(F.struct("s", "e")).alias("runs")), "marks")
-    scratch.drop("hits", "kinds", "opened", "windows")
+    whole = kinds.filter("n > 1").select("key", "seg", F.lit(0).alias("a"), (F.col("one.e") - F.col("one.s")).alias("b"))
+    opened = kinds.filter("mixed").select("one.*", "key", "seg")
+    opened = scratch.keep(opened.groupBy("doc_id", "h").agg(F.collect_list(F.struct("s", "e", "key", "seg")).alias("runs")), "opened")
+    pieces = scratch.keep(_pieces(docs, scratch.sized(opened, "opened"), length), "pieces")
+    many = kinds.filter("mixed").groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > MANY).select("key")
+    many = scratch.sized(scratch.keep(many, "many"), "many")
+    parts = _within_keys(pieces.join(many, "key", "left_anti"), length).unionByName(_across(pieces.join(many, "key", "left_semi"), length))
+    runs = scratch.keep(whole.unionByName(parts), "runs")
+    scratch.drop("kinds", "opened", "pieces", "many")
+    marks = hits.join(runs, ["key", "seg"]).select("doc_id", "h", (F.col("s") + F.col("a")).alias("s"), (F.col("s") + F.col("b")).alias("e"))
+    marks = scratch.keep(marks.groupBy("doc_id", "h").agg(F.collect_set(F.struct("s", "e")).alias("runs")), "marks")
+    scratch.drop("hits", "runs")
     return _cut(docs, scratch.sized(marks, "marks"), length)
