@@ -221,7 +221,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, g
     whole = kinds.filter("n > 1").select("key", "seg", F.lit(0).alias("a"), (F.col("one.e") - F.col("one.s")).alias("b"))
     opened = kinds.filter("mixed").select("one.*", "key", "seg")
     opened = scratch.keep(opened.groupBy("doc_id", "h").agg(F.collect_list(F.struct("s", "e", "key", "seg")).alias("runs")), "opened")
-    pieces = scratch.keep(_pieces(docs, scratch.sized(opened, "opened"), length), "pieces")
+    pieces = scratch.keep(_pieces(docs, opened, length), "pieces")
     many = kinds.filter("mixed").groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > MANY).select("key")
     many = scratch.sized(scratch.keep(many, "many"), "many")
     parts = _within_keys(pieces.join(many, "key", "left_anti"), length).unionByName(_across(pieces.join(many, "key", "left_semi"), length))
@@ -230,4 +230,4 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, g
     marks = hits.join(runs, ["key", "seg"]).select("doc_id", "h", (F.col("s") + F.col("a")).alias("s"), (F.col("s") + F.col("b")).alias("e"))
     marks = scratch.keep(marks.groupBy("doc_id", "h").agg(F.collect_set(F.struct("s", "e")).alias("runs")), "marks")
     scratch.drop("hits", "runs")
-    return _cut(docs, scratch.sized(marks, "marks"), length)
+    return _cut(docs, marks, length)
