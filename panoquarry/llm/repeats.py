@@ -9,14 +9,19 @@ by one:
 2. Segments that are equal as a whole repeat as a whole. All inner segments of a repeat are such,
    because keys depend on nothing but the bytes around.
 3. Only segments under one key that differ (the two ends of a repeat) are opened: the bytes of one
-   of each kind meet by key, and their windows are hashed and compared. Where a key has over MANY
-   kinds, its windows are dealt out and counted by Spark instead.
+   of each kind meet by key. Keys are gathered into shards, and each shard gets a run-length index
+   (run_index): its samples give the matching statistics of all opened segments against each other,
+   and windows that match elsewhere for LENGTH bytes are marked. Equal windows have equal keys, so
+   no match lies between shards, and no index is larger than a shard.
+4. A key whose kinds exceed KEY_BYTES has no bounded index: its windows are dealt out, hashed and
+   counted by Spark instead.
 
 Keys, segments and windows are counted by partial aggregates, so a passage in a third of all
 documents is one key like any other. A segment where the least hash stands at two places (as in
 periodic text) may repeat within itself and is always opened. All counts cover all rows.
 
-Hashes have 64 bits. This is not the run-compressed suffix index that the task names; README says why.
+Keys, whole segments and the windows of step 4 are told apart by hashes of 64 bits; the index
+compares bytes.
 
 Cases: a null text counts as empty; texts under LENGTH bytes have no window and lose nothing, but
 count; repeated rows repeat each other as any two rows do; a null doc_id is a row like any other; an
@@ -30,16 +35,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panoquarry.llm.arrays import U, Ranges, buffers, mix, slices
+from panoquarry.llm.run_index import long_matches
 from panoquarry.llm.runtime import Scratch
 
 LENGTH = 200
 GRAM = 56
-#: Pieces under one key that a task compares at once; keys of more are counted window by window.
-MANY = 1000
+#: Bytes of the opened segments that one index holds, and of a key that goes into an index at all.
+SHARD_BYTES = 1 << 20
+KEY_BYTES = 1 << 19
 
 
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -147,25 +155,32 @@ _RUNS = "key long, seg long, a int, b int"
 
 
 def _within_keys(pieces: DataFrame, length: int) -> DataFrame:
-    """Runs (_RUNS) of windows that stand twice among the pieces of a key: one row for each key."""
+    """Runs (_RUNS) of windows that stand twice among the pieces of a key, by an index of each shard."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with np.errstate(over="ignore"):
-            for batch in batches:
-                for row in range(batch.num_rows):
-                    group = batch.column(1)[row].values
-                    hashes, own, place = _hashed(group.field(1), length)
-                    _, inverse, times = np.unique(hashes, return_inverse=True, return_counts=True)
-                    again = np.flatnonzero(times[inverse] > 1)
-                    piece, first, last = _as_runs(own[again], place[again])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(piece), batch.column(0)[row].as_py(), dtype=np.int64)), group.field(0).take(pa.array(piece)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], ["key", "seg", "a", "b"])
+        for batch in batches:
+            groups = batch.column(1)
+            values = groups.flatten()
+            own = pa.array(np.repeat(np.arange(batch.num_rows), pc.list_value_length(groups).to_numpy()))
+            data, at = buffers(values.field(1))
+            # of each key, its first piece, and that piece's first byte
+            head = np.searchsorted(own.to_numpy(), np.arange(batch.num_rows + 1))
+            byte = at[head]
+            first = 0
+            while first < batch.num_rows:
+                last = max(first + 1, int(np.searchsorted(byte, byte[first] + SHARD_BYTES, "right")) - 1)
+                lo, hi = head[first], head[last]
+                piece, a, b = _as_runs(*long_matches(data[byte[first] : byte[last]], at[lo : hi + 1] - at[lo], length))
+                piece = pa.array(piece + lo)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(own.take(piece)), values.field(0).take(piece), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32))], ["key", "seg", "a", "b"])
+                first = last
 
     grouped = pieces.groupBy("key").agg(F.collect_list(F.struct("seg", "piece")).alias("group"))
     return grouped.mapInArrow(find, _RUNS)
 
 
 def _across(pieces: DataFrame, length: int) -> DataFrame:
-    """The same for keys of very many pieces: a row for each window, counted by Spark."""
+    """The same for keys beyond KEY_BYTES: a row for each window, counted by Spark."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
@@ -222,11 +237,11 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, g
     opened = kinds.filter("mixed").select("one.*", "key", "seg")
     opened = scratch.keep(opened.groupBy("doc_id", "h").agg(F.collect_list(F.struct("s", "e", "key", "seg")).alias("runs")), "opened")
     pieces = scratch.keep(_pieces(docs, opened, length), "pieces")
-    many = kinds.filter("mixed").groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > MANY).select("key")
-    many = scratch.sized(scratch.keep(many, "many"), "many")
-    parts = _within_keys(pieces.join(many, "key", "left_anti"), length).unionByName(_across(pieces.join(many, "key", "left_semi"), length))
+    large = kinds.filter("mixed").groupBy("key").agg(F.sum(F.col("one.e") - F.col("one.s") + length).alias("n")).filter(F.col("n") > KEY_BYTES).select("key")
+    large = scratch.sized(scratch.keep(large, "large"), "large")
+    parts = _within_keys(pieces.join(large, "key", "left_anti"), length).unionByName(_across(pieces.join(large, "key", "left_semi"), length))
     runs = scratch.keep(whole.unionByName(parts), "runs")
-    scratch.drop("kinds", "opened", "pieces", "many")
+    scratch.drop("kinds", "opened", "pieces", "large")
     marks = hits.join(runs, ["key", "seg"]).select("doc_id", "h", (F.col("s") + F.col("a")).alias("s"), (F.col("s") + F.col("b")).alias("e"))
     marks = scratch.keep(marks.groupBy("doc_id", "h").agg(F.collect_set(F.struct("s", "e")).alias("runs")), "marks")
     scratch.drop("hits", "runs")

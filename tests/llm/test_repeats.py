@@ -41,9 +41,13 @@ def test_odd(spark):
         check(repeats.remove_repeats(spark, documents(spark, rows)), [r[:2] for r in rows], 200)
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_random_repeats(spark, seed):
+@pytest.mark.parametrize(("seed", "shard", "key"), [(1, None, None), (2, None, None), (3, 1500, None), (4, None, 700)])
+def test_random_repeats(spark, monkeypatch, seed, shard, key):
     """Periodic texts, repeats at odd places, within and across documents, of about LENGTH bytes."""
+    if shard:  # many indexes
+        monkeypatch.setattr(repeats, "SHARD_BYTES", shard)
+    if key:  # most keys are too large for an index
+        monkeypatch.setattr(repeats, "KEY_BYTES", key)
     rng = random.Random(seed)
     noise = lambda n: "".join(rng.choices("abcdé", k=n))
     pool = [noise(n) for n in (30, 60, 150, 199, 200, 201, 260, 500)] + ["ab" * 170, "x" * 230, "x" * 199]
