@@ -189,9 +189,17 @@ def _across(pieces: DataFrame, length: int) -> DataFrame:
                 own = pa.array(own)
                 yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), batch.column(0).take(own), batch.column(1).take(own), pa.array(place.astype(np.int32))], ["window", "key", "seg", "a"])
 
+    def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = batch.column(2)
+            own = np.repeat(np.arange(batch.num_rows), pc.list_value_length(places).to_numpy())
+            piece, a, b = _as_runs(own, places.flatten().to_numpy())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(piece)), batch.column(1).take(pa.array(piece)), pa.array(a), pa.array(b)], ["key", "seg", "a", "b"])
+
     windows = pieces.mapInArrow(find, "window long, key long, seg long, a int")
     again = windows.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1").select("window")
-    return windows.join(again, "window").select("key", "seg", "a", F.col("a").alias("b"))
+    places = windows.join(again, "window").groupBy("key", "seg").agg(F.array_sort(F.collect_list("a")).alias("places"))
+    return places.mapInArrow(join_up, _RUNS)
 
 
 def _cut(docs: DataFrame, marks: DataFrame, length: int) -> DataFrame:
@@ -240,9 +248,14 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, g
     large = kinds.filter("mixed").groupBy("key").agg(F.sum(F.col("one.e") - F.col("one.s") + length).alias("n")).filter(F.col("n") > KEY_BYTES).select("key")
     large = scratch.sized(scratch.keep(large, "large"), "large")
     parts = _within_keys(pieces.join(large, "key", "left_anti"), length).unionByName(_across(pieces.join(large, "key", "left_semi"), length))
-    runs = scratch.keep(whole.unionByName(parts), "runs")
+    # a row for each kind of segment, so that a hit meets one; a whole one needs no parts
+    both = whole.withColumn("whole", F.lit(True)).unionByName(parts.withColumn("whole", F.lit(False)))
+    span = F.struct("a", "b")
+    runs = both.groupBy("key", "seg").agg(F.max(F.when(F.col("whole"), span)).alias("all"), F.collect_list(F.when(~F.col("whole"), span)).alias("some"))
+    runs = scratch.keep(runs.select("key", "seg", F.when(F.col("all").isNotNull(), F.array("all")).otherwise(F.col("some")).alias("of")), "runs")
     scratch.drop("kinds", "opened", "pieces", "large")
-    marks = hits.join(runs, ["key", "seg"]).select("doc_id", "h", (F.col("s") + F.col("a")).alias("s"), (F.col("s") + F.col("b")).alias("e"))
-    marks = scratch.keep(marks.groupBy("doc_id", "h").agg(F.collect_set(F.struct("s", "e")).alias("runs")), "marks")
+    placed = F.transform("of", lambda x: F.struct((F.col("s") + x["a"]).alias("s"), (F.col("s") + x["b"]).alias("e")))
+    marks = hits.join(runs, ["key", "seg"]).select("doc_id", "h", placed.alias("of"))
+    marks = scratch.keep(marks.groupBy("doc_id", "h").agg(F.array_distinct(F.flatten(F.collect_set("of"))).alias("runs")), "marks")
     scratch.drop("hits", "runs")
     return _cut(docs, marks, length)
