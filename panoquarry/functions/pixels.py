@@ -48,3 +48,16 @@ def verdict_label(verdict: Column) -> Column:
 
 def runtime_hours(n: Column, seconds: float = 1.5) -> Column:
     return n * seconds / 3600.0
+
+
+def on_download(normalised: Column, full: Column, download: Column) -> Column:
+    """A place in full resolution, scaled to a smaller download."""
+    return normalised * full * (download / full)
+
+
+def pano_url(pid: Column) -> Column:
+    return F.concat(F.lit("https://www.google.com/maps/@?api=1&map_action=pano&pano="), pid)
+
+
+def pano_title(pid: Column, date: Column, n: Column, group: Column) -> Column:
+    return F.concat(pid, F.lit(" captured "), date, F.lit(" - "), n.cast("string"), F.lit(" detection(s) "), group)

@@ -20,12 +20,19 @@ def peaks(df: DataFrame, heat: Column, rows: int, cols: int, distance: int, thre
 
 def peaks_of(heat: np.ndarray, distance: int = 10, threshold: float = 0.55) -> list[tuple[float, float, float]]:
     """The same of one array, for detectors: normalised x and y and the unclipped value, largest
-    first. The search sees values within [0, 1]."""
+    first. The search sees values within [0, 1]. Of equal peaks closer than distance the first one
+    stays, and a map that is flat has none."""
     seen = np.clip(heat, 0, 1)
     wide = np.pad(seen, distance, constant_values=-np.inf)
     largest = np.lib.stride_tricks.sliding_window_view(wide, (2 * distance + 1, 2 * distance + 1)).max(axis=(2, 3))
-    hit = (seen == largest) & (seen > threshold)
+    top = seen == largest
+    if top.all():
+        return []
+    hit = top & (seen > threshold)
     hit[:distance], hit[-distance:], hit[:, :distance], hit[:, -distance:] = False, False, False, False
     r, c = np.nonzero(hit)
-    order = np.argsort(-seen[r, c], kind="stable")
-    return [(float(c[i] / heat.shape[1]), float(r[i] / heat.shape[0]), float(heat[r[i], c[i]])) for i in order]
+    kept: list[tuple[int, int]] = []
+    for i in np.argsort(-seen[r, c], kind="stable"):
+        if all(max(abs(r[i] - a), abs(c[i] - b)) >= distance for a, b in kept):
+            kept.append((int(r[i]), int(c[i])))
+    return [(b / heat.shape[1], a / heat.shape[0], float(heat[a, b])) for a, b in kept]

@@ -59,6 +59,12 @@ def todo(found: DataFrame, done: DataFrame, key: str = "panorama_id") -> DataFra
     return found.join(done.select(key).distinct(), key, "left_anti")
 
 
+def outcome(status: Column) -> Column:
+    """What becomes of a record that was answered with an HTTP status: only 200 counts as taken, and
+    4xx is not tried again in the same run."""
+    return F.when(status == 200, "success").when(status.between(400, 499), "rejected").otherwise("error")
+
+
 def terminal(outcomes: DataFrame) -> DataFrame:
     return outcomes.filter(F.col("status").isin("success", "skipped"))
 

@@ -20,7 +20,7 @@ def matched(entries: DataFrame, confs: DataFrame) -> DataFrame:
 def reviewed(entries: DataFrame, confs: DataFrame, exclude_top: bool = False, assume_scanned: bool = False) -> DataFrame:
     """One row for each entry that counts: pid, dets, confs, missed, judged (no verdict open) and
     checked (its missed marks are complete). An entry without no_missed is of the old kind, trusted."""
-    df = matched(entries, confs).filter("fits")
+    df = matched(entries, confs).filter("fits").withColumn("missed", F.coalesce("missed", F.array().cast("array<struct<x:double,y:double,unsure:boolean>>")))
     if exclude_top:
         df = df.filter(~F.col("group").eqNullSafe(F.lit("top")))
     done = F.when(F.col("no_missed").isNull(), True).otherwise(F.col("no_missed") | (F.size("missed") > 0))
@@ -62,20 +62,28 @@ def summary(seen: DataFrame) -> DataFrame:
 
 def sweep(seen: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
     """threshold, kept, precision, recall for thresholds that keep anything. Recall has the fixed
-    denominator of all known objects. Each detection is counted once, into the band below its
-    confidence; running sums over the few bands give the thresholds, so detections meet no join."""
-    ramps = summary(seen).select((F.col("recall_tp") + F.col("missed")).alias("ramps"))
-    band = F.lit(-1)
+    denominator of all known objects. One pass: each detection is counted in the band below its
+    confidence, the marks of a panorama with its first one; the few bands then add up to thresholds."""
+    sure = F.size(F.filter("missed", lambda m: ~F.coalesce(m["unsure"], F.lit(False))))
+    parts = seen.filter("judged").select("checked", sure.alias("sure"), F.posexplode_outer(F.arrays_zip("confs", "dets")).alias("i", "d"))
+    conf, band = F.col("d.confs"), F.lit(-1)
     for i, t in enumerate(thresholds):
-        band = F.when(F.col("conf") >= t, i).otherwise(band)
-    both = pool(seen).withColumn("r", F.lit(0)).unionByName(pool(seen, "checked").withColumn("r", F.lit(1)))
-    by_band = both.groupBy(band.alias("band")).agg(
-        *(F.sum(F.when(c, 1).otherwise(0)).alias(k) for k, c in {"kept": F.col("r") == 0, "tp": (F.col("r") == 0) & F.col("ok"), "rtp": (F.col("r") == 1) & F.col("ok")}.items())
-    )
+        band = F.when(conf >= t, i).otherwise(band)
+    ok = F.col("d.dets") == "true"
+    counts = {"kept": F.col("d.dets") != "unsure", "tp": ok, "rtp": ok & F.col("checked")}
+    marks = F.sum(F.when(F.col("checked") & (F.coalesce("i", F.lit(0)) == 0), F.col("sure")).otherwise(0))
+    by_band = parts.groupBy(band.alias("band")).agg(*(F.sum(F.when(c, 1).otherwise(0)).alias(k) for k, c in counts.items()), marks.alias("marks"))
+    # as many rows as bands go into one array
+    one = by_band.agg(F.collect_list(F.struct("band", *counts)).alias("bands"), F.sum(F.col("rtp") + F.col("marks")).alias("ramps"))
     at = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(float(t)).alias("t")) for i, t in enumerate(thresholds)))
-    spread = by_band.select(F.explode(F.filter(at, lambda x: x["i"] <= F.col("band"))).alias("x"), "kept", "tp", "rtp")
-    df = spread.groupBy(F.col("x.t").alias("threshold")).agg(F.sum("kept").alias("kept"), F.sum("tp").alias("tp"), F.sum("rtp").alias("rtp")).filter("kept > 0")
-    return df.crossJoin(F.broadcast(ramps)).select("threshold", "kept", (F.col("tp") / F.col("kept")).alias("precision"), F.when(F.col("ramps") > 0, F.col("rtp") / F.when(F.col("ramps") > 0, F.col("ramps"))).otherwise(F.lit(float("nan"))).alias("recall"))
+    total = lambda k: F.aggregate(F.filter("bands", lambda b: b["band"] >= F.col("x.i")), F.lit(0).cast("long"), lambda n, b: n + b[k]).alias(k)
+    df = one.select("bands", "ramps", F.explode(at).alias("x")).select(F.col("x.t").alias("threshold"), "ramps", *map(total, counts)).filter("kept > 0")
+    return df.select("threshold", "kept", (F.col("tp") / F.col("kept")).alias("precision"), F.when(F.col("ramps") > 0, F.col("rtp") / F.when(F.col("ramps") > 0, F.col("ramps"))).otherwise(F.lit(float("nan"))).alias("recall"))
+
+
+def trusts_all(entries: DataFrame) -> DataFrame:
+    """One row, ``legacy``: whether no entry says if it was checked for missed objects."""
+    return entries.agg((~F.coalesce(F.max(F.col("no_missed").isNotNull()), F.lit(False))).alias("legacy"))
 
 
 def lowest_threshold(swept: DataFrame, precision: float) -> DataFrame:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from panoquarry.functions import geo, pixels
 from panoquarry.operators import peaks as heat
-from panoquarry.operators import records, sampling, scoring
+from panoquarry.operators import gallery, records, sampling, scoring
 from panoquarry.plans import standins as s
+from panoquarry.plans.runs import found_in
 
 ZOOM = 17
 RINGS = geo.rings(s.AREA)
@@ -201,12 +202,108 @@ def record_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.as_json(records.payloads(records.build_records(df, "CurbRamp", "model", "01-01-2026", "v1")))
 
 
+def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pid, group, n and the state of its review; every seventh was never opened."""
+    e = s.entries(spark, sf_dir)
+    confs = s.confidences(spark, sf_dir).select("pid", F.size("confs").alias("n"))
+    return e.join(confs, "pid").withColumn("seen", F.col("pid").cast("long") % 7 != 0)
+
+
+def gallery_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The close-ups of the panoramas that a review sample shows."""
+    d = s.detections(spark, sf_dir).withColumnRenamed("l_orderkey", "k")
+    chosen = sampling.choose(_counted(spark, sf_dir))
+    df = chosen.join(d, chosen["pid"] == d["k"].cast("string"), "left").select("pid", "group", F.coalesce("dets", F.array().cast(d.schema["dets"].dataType)).alias("dets"))
+    df = df.select("pid", "group", F.posexplode(gallery.crops(F.col("pid"), F.col("dets"), F.lit(4096), F.lit(2048))).alias("i", "c"))
+    return df.select("pid", "group", "c.img", "c.conf", "c.x", "c.y", "c.cx", "c.cy")
+
+
+def gallery_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    states = _states(spark, sf_dir)
+    count = lambda mode: gallery.shown(states, mode).groupBy(F.lit(mode).alias("mode")).agg(F.count("*").alias("n"))
+    out = count("all")
+    for mode in ("det", "empty", "todo"):
+        out = out.unionByName(count(mode))
+    return out
+
+
+def review_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gallery.progress(_states(spark, sf_dir))
+
+
+def verdict_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    states = _states(spark, sf_dir)
+    return gallery.export(states, states).select("pid", "verdict.group", F.array_join("verdict.dets", ",", "-").alias("dets"), F.size("verdict.missed").cast("long").alias("n_missed"), "verdict.no_missed")
+
+
+def verdict_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = s.entries(spark, sf_dir).select(F.explode("dets").alias("v"))
+    return df.groupBy(pixels.verdict_label(F.col("v")).alias("label")).agg(F.count("*").alias("n"))
+
+
+def legacy_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.trusts_all(s.entries(spark, sf_dir))
+
+
+def score_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of all, and that without the densest where it differs in what was seen."""
+    whole = scoring.summary(_seen(spark, sf_dir)).withColumn("report", F.lit("all"))
+    rest = scoring.summary(_seen(spark, sf_dir, exclude_top=True)).withColumn("report", F.lit("unbiased"))
+    differs = rest.join(F.broadcast(whole.select(F.col("n_seen").alias("n_all"))), F.col("n_seen") != F.col("n_all")).drop("n_all")
+    return whole.unionByName(differs).select("report", "n_seen", "n_judged", "tp", "fp", "recall_tp", "missed", "precision", "recall")
+
+
+def calibrated_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.lowest_threshold(threshold_sweep(spark, sf_dir), 0.8)
+
+
+def coverage_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Panoramas that tiles found, each from two tiles; every thirteenth tile failed."""
+    p = s.panos(spark, sf_dir).withColumns({"x": geo.tile_x(F.col("lon"), ZOOM), "y": geo.tile_y(F.col("lat"), ZOOM)}).withColumn("ok", (F.col("x") + F.col("y")) % 13 != 0)
+    twice = p.unionByName(p.withColumn("x", F.col("x") + 1)).withColumnRenamed("pid", "panorama_id")
+    return found_in(twice, RINGS).select(F.col("panorama_id").alias("pid"), "lat", "lon")
+
+
+def failed_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = s.panos(spark, sf_dir).select(geo.tile_x(F.col("lon"), ZOOM).alias("x"), geo.tile_y(F.col("lat"), ZOOM).alias("y"))
+    return p.filter((F.col("x") + F.col("y")) % 13 == 0).agg(F.count_distinct("x", "y").alias("n"))
+
+
+def submission_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of a made service, by what becomes of their records."""
+    return s.table(spark, sf_dir, "orders").groupBy(records.outcome(F.expr(s.HTTP)).alias("outcome")).agg(F.count("*").alias("n"))
+
+
+def latest_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last of the records of each panorama: a line is a record with one detection."""
+    lines = s.table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("at"), F.array(F.struct(F.expr(s.CONF).alias("confidence"))).alias("detections"))
+    return records.latest(lines, F.col("l_orderkey").cast("string"), "at").select("pid", F.col("confs")[0].alias("conf"))
+
+
+def first_with_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _counted(spark, sf_dir).filter("n_detections > 0").orderBy("ordinal").limit(1).select("pid", "n_detections")
+
+
+def marker_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections on a download of 4096 x 2048."""
+    p, d = s.panos(spark, sf_dir), s.detections(spark, sf_dir)
+    df = p.join(d, p["o_orderkey"] == d["l_orderkey"]).select("pid", F.expr(s.WIDTH).alias("w"), F.expr(s.HEIGHT).alias("h"), F.posexplode("dets").alias("i", "d"))
+    return df.select("pid", (F.col("i") + 1).cast("long").alias("idx"), pixels.on_download(F.col("d.x_normalized"), F.col("w"), F.lit(4096)).alias("px"), pixels.on_download(F.col("d.y_normalized"), F.col("h"), F.lit(2048)).alias("py"))
+
+
+def pano_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _counted(spark, sf_dir)
+    return c.select("pid", pixels.pano_url(F.col("pid")).alias("url"), pixels.pano_title(F.col("pid"), F.lit("2021-06"), F.col("n_detections"), F.lit("random")).alias("title"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         score_summary, score_unbiased, score_attested, threshold_sweep, judged_pool, recall_pool, wilson, missed_marks, verdict_mismatch,
         tile_of_point, tile_grid, area_bbox, pano_in_area, todo_anti_join, scan_summary, status_counts, record_units, history_filter,
         pixel_payload, resume_anti_join, zero_detection_panos, top_dense, review_sample, crop_window, local_peaks, props_extract, record_json,
+        gallery_crops, gallery_modes, review_progress, verdict_export, verdict_labels, legacy_verdicts, score_reports, calibrated_threshold,
+        coverage_merge, failed_tiles, submission_summary, latest_record, first_with_detections, marker_places, pano_titles,
     )
 }
 
@@ -228,6 +325,15 @@ def _summary(keep: str, checked: str) -> str:
 _SORTED = "seeded as (select pid, n_detections, row_number() over (partition by n_detections = 0, is_top order by md5('0:' || pid), pid) as r, is_top from counted)"
 _COUNTED = "c0 as (select cast(o_orderkey as varchar) as pid, o_orderkey, coalesce(n, 0) as n_detections from orders left join (select l_orderkey, count(*) as n from lineitem group by 1) on l_orderkey = o_orderkey)"
 _HISTORY = "list_filter([" + ", ".join(f"case when o_orderkey % 11 != 0 and (o_orderkey + {k}) % 3 != 0 then pid || '-{k}@' || (year(o_orderdate) - {k}) || '-' || lpad(month(o_orderdate)::varchar, 2, '0') end" for k in (1, 2, 3)) + "], lambda x: x is not null)"
+#: The review of every panorama with its state, and its verdicts, cut short where one is missing.
+_STATES = (
+    f"{DETS}, {MARKS}, {TOP}, vs as (select d.k, d.idx, {s.VERDICT.replace('o_orderkey', 'd.k')} as v, count(*) over (partition by d.k) as n from dets d),"
+    f" cut as (select k, array_agg(v order by idx) as dets from vs where not ({s.SHORT.replace('o_orderkey', 'k')} and idx = n) group by k),"
+    f" st as (select cast(o_orderkey as varchar) as pid, o_orderkey % 7 != 0 as seen, coalesce(c.n, 0) as n, coalesce(u.dets, []) as dets, coalesce(m.sure, 0) as sure, coalesce(m.unsure, 0) as unsure, o_orderstatus != 'P' and coalesce(m.clicked, false) as no_missed,"
+    " case when o_orderkey in (select k from top) then 'top' when coalesce(c.n, 0) > 0 then 'random' else 'empty' end as grp"
+    " from orders left join (select k, count(*) as n from dets group by k) c on c.k = o_orderkey left join cut u on u.k = o_orderkey left join marks m on m.k = o_orderkey),"
+    " rv as (select *, seen and (sure + unsure > 0 or no_missed) and len(dets) = n and len(list_filter(dets, lambda v: v is null)) = 0 as reviewed from st)"
+)
 SQL = {
     "tile_of_point": f"with {PANOS} select pid, {_TILE[0]} as x, {_TILE[1]} as y from panos",
     "tile_grid": f"select x::int as x, y::int as y from range({_X0}, {_X1 + 1}) a(x), range({_Y0}, {_Y1 + 1}) b(y)",
@@ -256,3 +362,21 @@ SQL = {
     "local_peaks": "with e as (select vec_id, unnest(range(64)) as i, unnest(embedding) as v from embeddings), g as (select vec_id, i // 8 as r, i % 8 as c, v from e) select vec_id, r::int as r, c::int as c, v::double as value from g a where r between 1 and 6 and c between 1 and 6 and v::double > 0.1e0 and v >= (select max(b.v) from g b where b.vec_id = a.vec_id and b.r between a.r - 1 and a.r + 1 and b.c between a.c - 1 and a.c + 1)",
     "props_extract": "select json_extract_string(props, '$.k') as k, count(*) as n from events group by 1",
 }
+SQL |= {
+    "gallery_crops": f"with sample as ({SQL['review_sample']}), {DETS}, p as (select s.pid, s.\"group\", idx, conf, x, y, x * 4096e0 as px, y * 2048e0 as py from sample s join dets on cast(k as varchar) = s.pid), w as (select *, trunc(least(greatest(px - 256e0, 0e0), 3584e0)) as l, trunc(least(greatest(py - 256e0, 0e0), 1536e0)) as t from p)"
+    " select pid, \"group\", pid || '_det' || (idx - 1) || '.jpg' as img, round(conf, 4) as conf, round(x, 5) as x, round(y, 5) as y, round((px - l) / 512e0, 4) as cx, round((py - t) / 512e0, 4) as cy from w",
+    "gallery_modes": f"with {_STATES} select 'all' as mode, count(*) as n from rv union all select 'det', count(*) from rv where n > 0 union all select 'empty', count(*) from rv where n = 0 union all select 'todo', count(*) from rv where not reviewed",
+    "review_progress": f"with {_STATES} select count_if(reviewed) as reviewed, count(*) as entries, sum(sure)::bigint as sure, sum(unsure)::bigint as unsure from rv",
+    "verdict_export": f"with {_STATES} select pid, grp as \"group\", array_to_string(list_transform(dets, lambda v: coalesce(v, '-')), ',') as dets, sure + unsure as n_missed, no_missed from rv where seen",
+    "verdict_labels": f"with {_STATES}, v as (select unnest(dets) as v from rv) select case v when 'true' then 'correct' when 'false' then 'incorrect' when 'unsure' then 'unsure' else 'unjudged' end as label, count(*) as n from v group by 1",
+    "legacy_verdicts": "select count_if(o_orderstatus != 'P') = 0 as legacy from orders",
+    "score_reports": f"with a as ({SQL['score_summary']}), b as ({SQL['score_unbiased']}) select 'all' as report, n_seen, n_judged, tp, fp, recall_tp, missed, precision, recall from a union all select 'unbiased', b.n_seen, b.n_judged, b.tp, b.fp, b.recall_tp, b.missed, b.precision, b.recall from b, a where a.n_seen != b.n_seen",
+    "calibrated_threshold": f"select min(threshold) as threshold from ({SQL['threshold_sweep']}) where precision >= 0.8e0",
+    "coverage_merge": f"with {INSIDE}, t as (select *, {_TILE[0]} as x, {_TILE[1]} as y from inside) select pid, lat, lon from t where (x + y) % 13 != 0",
+    "failed_tiles": f"with {PANOS}, t as (select distinct {_TILE[0]} as x, {_TILE[1]} as y from panos) select count(*) as n from t where (x + y) % 13 = 0",
+    "submission_summary": f"select case when {s.HTTP} = 200 then 'success' when {s.HTTP} between 400 and 499 then 'rejected' else 'error' end as outcome, count(*) as n from orders group by 1",
+    "latest_record": f"select cast(l_orderkey as varchar) as pid, arg_max({s.CONF}, (l_linenumber, l_partkey, l_suppkey, l_extendedprice)) as conf from lineitem group by 1",
+    "first_with_detections": f"with {_COUNTED} select pid, n_detections from c0 where n_detections > 0 order by o_orderkey limit 1",
+    "marker_places": f"with {DETS} select cast(k as varchar) as pid, idx, x * ({s.WIDTH}) * (4096e0 / ({s.WIDTH})) as px, y * ({s.HEIGHT}) * (2048e0 / ({s.HEIGHT})) as py from dets join orders on o_orderkey = k",
+    "pano_titles": f"with {_COUNTED} select pid, 'https://www.google.com/maps/@?api=1&map_action=pano&pano=' || pid as url, pid || ' captured 2021-06 - ' || n_detections || ' detection(s) random' as title from c0",
+}

@@ -18,6 +18,8 @@ HEADING = "(o_orderkey % 6283) / 1000e0"
 VERDICT = "case when o_orderkey % 17 = 0 then null when l_returnflag in ('A', 'N') then 'true' when l_linestatus = 'F' then 'false' else 'unsure' end"
 STATUS = "case when o_orderpriority = '1-URGENT' then 'skipped' when o_orderkey % 97 = 0 then 'skipped' when o_orderkey % 53 = 0 then 'failure' else 'success' end"
 REASON = "case when o_orderpriority = '1-URGENT' then 'indoor' when o_orderkey % 97 = 0 then 'incomplete' when o_orderkey % 53 = 0 then 'retry' else 'done' end"
+#: What a made service answers to a record.
+HTTP = "case when o_orderkey % 5 = 0 then 201 when o_orderkey % 7 = 0 then 404 when o_orderkey % 11 = 0 then 503 else 200 end"
 #: Every hundred-and-first review has one verdict too few.
 SHORT = "o_orderkey % 101 = 0"
 

@@ -2,15 +2,82 @@
 
 from __future__ import annotations
 
+import json
+from datetime import UTC, datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panoquarry import schemas
 
 
-def exists(spark: SparkSession, path: str) -> bool:
+def _store(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, store = _store(spark, path)
+    return store.exists(p)
+
+
+def is_file(spark: SparkSession, path: str) -> bool:
+    p, store = _store(spark, path)
+    return store.exists(p) and store.getFileStatus(p).isFile()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Written beside, then moved to its place, so that no reader meets half a file."""
+    fresh, store = _store(spark, f"{path}.new")
+    out = store.create(fresh, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    p, _ = _store(spark, path)
+    store.delete(p, False)
+    store.rename(fresh, p)
+
+
+def parts(spark: SparkSession, path: str) -> list[str]:
+    """Where the rows of path are: the file or folder itself, and the folder of what was added to a file."""
+    return [p for p in (path, f"{path}.d") if exists(spark, p)]
+
+
+def append_lines(df: DataFrame, path: str) -> None:
+    """Add the one string column of df as lines. A single file can't be added to by many writers:
+    beside one, a folder takes the new lines."""
+    spark = df.sparkSession
+    df.write.mode("append").text(f"{path}.d" if is_file(spark, path) else path)
+
+
+def numbered(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """file, line_number (from 1, blank lines count) and value of all lines, and ``placed``, which
+    orders them over files, oldest first. Lines are counted by block of a file; one row for each
+    block is summed and joined back, so no file is numbered in one task."""
+    place = {"file": "file_path", "changed": "file_modification_time", "block": "file_block_start"}
+    lines = spark.read.text(paths).select("value", *(F.col(f"_metadata.{v}").alias(k) for k, v in place.items()), F.monotonically_increasing_id().alias("at"))
+    from pyspark.sql import Window
+
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    blocks = blocks.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    first = F.coalesce("first", F.raise_error(F.lit("the blocks of the files changed while they were read")))
+    df = lines.join(blocks, ["file", "block"], "left").withColumn("line_number", F.col("at") - first + F.col("before") + 1)
+    return df.select("file", "line_number", F.struct("changed", "file", "line_number").alias("placed"), "value")
+
+
+def parsed(lines: DataFrame, schema: str = schemas.RESULT, strict: bool = True) -> DataFrame:
+    """numbered lines that are not blank, with the columns of schema. Strict: a bad line raises;
+    else ``bad`` says which lines are no records."""
+    lines = lines.filter(F.length(F.trim("value")) > 0)
+    if strict:
+        return lines.withColumn("r", F.from_json("value", schema, {"mode": "FAILFAST"})).select("file", "line_number", "placed", "r.*")
+    kept = f"{schema}, _corrupt_record string"
+    df = lines.withColumn("r", F.from_json("value", kept, {"columnNameOfCorruptRecord": "_corrupt_record"}))
+    return df.select("file", "line_number", "placed", "r.*").withColumn("bad", F.col("_corrupt_record").isNotNull()).drop("_corrupt_record")
 
 
 def results(spark: SparkSession, path: str) -> DataFrame:
@@ -25,16 +92,50 @@ def results_tolerant(spark: SparkSession, path: str) -> DataFrame:
 
 def processed_ids(spark: SparkSession, path: str) -> DataFrame:
     """The distinct ids of a cache file; none if it isn't there."""
-    if not exists(spark, path):
+    found = parts(spark, path)
+    if not found:
         return spark.createDataFrame([], "panorama_id string")
-    return spark.read.text(path).select(F.trim("value").alias("panorama_id")).distinct()
+    return spark.read.text(found).select(F.trim("value").alias("panorama_id")).distinct()
 
 
 def submitted_lines(spark: SparkSession, path: str) -> DataFrame:
-    """The distinct numbers of a sidecar file; blank lines are skipped, others must be integers."""
-    if not exists(spark, path):
-        return spark.createDataFrame([], "line_number long")
-    return spark.read.text(path).filter(F.length(F.trim("value")) > 0).select(F.trim("value").cast("long").alias("line_number")).distinct()
+    """The distinct (line_number, name) of a sidecar file; blank lines are skipped, others must begin
+    with an integer. name is that of a file in a folder of results, empty for a single file."""
+    found = parts(spark, path)
+    if not found:
+        return spark.createDataFrame([], "line_number long, name string")
+    line = F.split(F.trim("value"), "\t")
+    return spark.read.text(found).filter(F.length(F.trim("value")) > 0).select(line[0].cast("long").alias("line_number"), F.coalesce(F.get(line, F.lit(1)), F.lit("")).alias("name")).distinct()
+
+
+def geometry(spark: SparkSession, path: str) -> dict:
+    """A bare Polygon or MultiPolygon."""
+    return json.loads(read_text(spark, path))
+
+
+def now() -> str:
+    return datetime.now(UTC).isoformat(timespec="seconds")
+
+
+def open_run(spark: SparkSession, run: str, source: str, area: dict, area_hash: str, about: dict[str, str]) -> dict:
+    """The manifest of a run; a new one, with a copy of the area, if there is none. A run stays bound
+    to its area: another one raises."""
+    path = f"{run}/manifest.json"
+    if exists(spark, path):
+        found = json.loads(read_text(spark, path))
+        if found.get("area_hash") != area_hash:
+            raise ValueError(f"{run} belongs to another area ({str(found.get('area_hash'))[:12]}, not {area_hash[:12]}); its own is in {run}/area.geojson")
+        return found
+    made = {"run_name": run.rstrip("/").rsplit("/", 1)[-1], "created_at": now(), "source_geojson": source, "area_hash": area_hash, **about, "runs": []}
+    write_text(spark, f"{run}/area.geojson", json.dumps(area))
+    write_text(spark, path, json.dumps(made, indent=2))
+    return made
+
+
+def record_run(spark: SparkSession, run: str, found: dict, started_at: str, in_area: int, processed: int, skipped: int, failed: int) -> None:
+    """Add an entry to the run history of the manifest found."""
+    found["runs"].append({"started_at": started_at, "finished_at": now(), "panos_found_in_area": in_area, "processed": processed, "skipped": skipped, "failed": failed})
+    write_text(spark, f"{run}/manifest.json", json.dumps(found, indent=2))
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -42,8 +143,11 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def verdicts(spark: SparkSession, path: str) -> DataFrame:
-    """pid, group, dets, missed, no_missed, seen of each reviewed panorama, and the file's run_key."""
-    return spark.read.schema(schemas.VERDICTS).option("multiLine", True).json(path).select("run_key", F.explode("panos").alias("pid", "e")).select("run_key", "pid", "e.*")
+    """pid, group, dets, missed, no_missed, seen of each reviewed panorama, and the file's run_key.
+    no_missed is null only where the key is absent; a null under the key is false."""
+    raw = spark.read.schema("run_key string, panos map<string,string>").option("multiLine", True).json(path).select("run_key", F.explode("panos").alias("pid", "raw"))
+    df = raw.withColumn("e", F.from_json("raw", schemas.ENTRY)).withColumn("said", F.array_contains(F.json_object_keys("raw"), "no_missed"))
+    return df.select("run_key", "pid", "e.group", "e.dets", "e.missed", F.when(F.col("said"), F.coalesce("e.no_missed", F.lit(False))).alias("no_missed"), "e.seen")
 
 
 def verdict_path(spark: SparkSession, run: str) -> str:
@@ -68,7 +172,7 @@ def run_key(spark: SparkSession, run: str) -> str:
 
 def append_results(df: DataFrame, path: str) -> None:
     """Records with their nulls, so that a key is never missing."""
-    df.write.mode("append").option("ignoreNullFields", "false").json(path)
+    append_lines(df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")), path)
 
 
 def with_ordinal(df: DataFrame, *order: str) -> DataFrame:
@@ -78,10 +182,10 @@ def with_ordinal(df: DataFrame, *order: str) -> DataFrame:
 
     ranged = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()).sortWithinPartitions(*order)
     kept = ranged.persist()
-    base, starts = 0, {}
+    base, starts = 0, []
     for r in kept.groupBy("_p").count().orderBy("_p").collect():  # one row for each partition
-        starts[r[0]], base = base, base + r[1]
-    if not starts:
-        return df.withColumn("ordinal", F.lit(0).cast("long"))
-    shift = F.create_map(*(F.lit(x) for kv in starts.items() for x in kv))[F.col("_p")]
-    return kept.withColumn("ordinal", (F.row_number().over(Window.partitionBy("_p").orderBy(*order)) + shift).cast("long")).drop("_p")
+        starts.append((r[0], base))
+        base += r[1]
+    shift = df.sparkSession.createDataFrame(starts, "_p int, _before long")
+    at = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) + F.col("_before")
+    return kept.join(F.broadcast(shift), "_p").withColumn("ordinal", at.cast("long")).drop("_p", "_before")
