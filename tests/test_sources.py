@@ -8,7 +8,7 @@ import pytest
 from panoquarry.functions import geo
 from panoquarry.operators.peaks import peaks_of
 from panoquarry.sources import files, network
-from panoquarry.streaming.incremental import fold_reviews, once
+from panoquarry.streaming.incremental import fold_reviews, follow_reviews, once
 
 
 def test_caches(spark, tmp_path):
@@ -45,6 +45,19 @@ def test_review_fold(spark):
     assert r["dets"] == ["true", "false"] and r["missed"][0]["unsure"] and not r["no_missed"] and r["seen"]
 
 
+def test_review_stream_keeps_state(spark, tmp_path):
+    schema = "run_key string, pid string, seq long, kind string, i long, n long, x double, y double"
+    batches = [[(1, "open", 0, 2), (2, "cycle", 0, 0)], [(4, "mark", 0, 0), (3, "none", 0, 0), (5, "touch", 0, 0)], [(6, "cycle", 0, 0), (7, "touch", 0, 0)]]
+    seen = []
+    for rows in batches:
+        spark.createDataFrame([("r", "p", q, k, i, n, 0.5, 0.5) for q, k, i, n in rows], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        out = follow_reviews(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"))
+        put = lambda df, _: seen.extend(r.asDict(True) for r in df.collect())
+        out.writeStream.outputMode("update").option("checkpointLocation", f"{tmp_path}/state").foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
+    assert [r["dets"] for r in seen] == [["true", None], ["true", None], ["false", None]]
+    assert [len(r["missed"]) for r in seen] == [0, 1, 0] and seen[1]["missed"][0]["unsure"] and not seen[1]["no_missed"]
+
+
 def test_once_across_runs(spark, tmp_path):
     for ids in (["a", "b"], ["b", "c"]):
         spark.createDataFrame([(i,) for i in ids], "id string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
@@ -56,3 +69,50 @@ def test_peaks_of():
     heat = np.zeros((40, 60))
     heat[20, 30], heat[22, 33], heat[5, 30] = 1.4, 0.9, 0.9
     assert peaks_of(heat) == [(0.5, 0.5, 1.4)]
+
+
+def test_equal_peaks_close_to_each_other_are_one():
+    heat = np.zeros((40, 60))
+    heat[20, 30], heat[20, 33], heat[20, 45] = 1.2, 1.5, 0.6
+    assert [(r, c) for c, r, _ in peaks_of(heat)] == [(0.5, 0.5), (0.5, 0.75)] and peaks_of(np.ones((40, 60))) == []
+
+
+def test_detector_loads_once():
+    from panoquarry.functions import detector
+
+    loads, heat = [], np.zeros((30, 60))
+    heat[15, 30] = 0.8
+
+    def load():
+        loads.append(1)
+        return lambda pixels: heat if pixels.shape == (3, 4, 8) else None
+
+    d = detector.Detector("made", load)
+    picture = np.zeros((4, 9, 3), dtype=np.uint8)
+    assert d(picture) == d(picture) == [(0.5, 0.5, 0.8)] and loads == [1]
+    assert detector.best_device(lambda name: name == "mps") == "mps" and detector.best_device(lambda name: False) == "cpu"
+
+
+def test_post_says_the_status(tmp_path):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from panoquarry.__main__ import Post, arguments
+
+    got = []
+
+    class Answer(BaseHTTPRequestHandler):
+        def do_POST(self):
+            got.append((self.headers["Authorization"], self.rfile.read(int(self.headers["Content-Length"]))))
+            self.send_response(200 if len(got) == 1 else 404)
+            self.end_headers()
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Answer)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    post = Post(f"http://127.0.0.1:{server.server_port}/x", "key")
+    assert [post("{}"), post("{}")] == [200, 404] and got[0] == ("Bearer key", b"{}")
+    server.shutdown()
+    assert arguments(["submit", "f", "--dry-run"]).dry_run and arguments(["gallery", "r", "--services", "m"]).sample == 100
