@@ -46,12 +46,35 @@ def edges(area: list[Ring]) -> list[tuple[float, float, float, float]]:
     return [(*a, *b) for ring in area for a, b in zip(ring, ring[1:] + ring[:1], strict=True) if a != b]
 
 
+def bands(area: list[Ring], most: int = 4096) -> list[list[tuple[float, float, float, float]]]:
+    """The edges that reach into each of a number of equal latitude bands. Bands are halved until they
+    hold no more than a few entries for each edge in all."""
+    _, south, _, north = bbox(area)
+    found = edges(area)
+    n = max(1, min(most, len(found)))
+    while True:
+        out: list[list] = [[] for _ in range(n)]
+        for e in found:
+            low, high = (min(n - 1, int((y - south) / (north - south) * n)) if north > south else 0 for y in sorted((e[1], e[3])))
+            for band in out[low : high + 1]:
+                band.append(e)
+        if n == 1 or sum(map(len, out)) <= 8 * len(found) + 64:
+            return out
+        n //= 2
+
+
 def within(area: list[Ring], lon: Column, lat: Column, tolerance: float = 0.0) -> Column:
     """Strictly inside: an odd number of edges to the east is crossed, and no edge holds the point.
-    Edges travel as one literal array, so areas of hundreds of edges cost no join and no shuffle; the
-    box comes first, so that far points cost two comparisons."""
+    Edges travel as one literal, so an area costs no join and no shuffle. The box comes first, so that
+    far points cost two comparisons; the others meet only the edges of their latitude band. A point and
+    the ends of edges get their band by one monotone formula, so no edge beside a point is missed."""
     west, south, east, north = bbox(area)
-    edge = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in zip(("x1", "y1", "x2", "y2"), e, strict=True))) for e in edges(area)))
+    banded = bands(area)
+    kind = "array<struct<x1:double,y1:double,x2:double,y2:double>>"
+    one = lambda e: "named_struct(" + ",".join(f"'{k}',{v!r}D" for k, v in zip(("x1", "y1", "x2", "y2"), e, strict=True)) + ")"
+    table = F.expr("array(" + ",".join(f"cast(array({','.join(map(one, band))}) as {kind})" for band in banded) + ")")
+    n = len(banded)
+    at = F.least(F.lit(n - 1), ((lat - south) / (north - south) * n).cast("int")) if n > 1 else F.lit(0)
 
     def crossed(n: Column, e: Column) -> Column:
         over = (e["y1"] > lat) != (e["y2"] > lat)
@@ -63,7 +86,9 @@ def within(area: list[Ring], lon: Column, lat: Column, tolerance: float = 0.0) -
         return (F.abs(cross) <= tolerance) & between
 
     near = lon.between(west, east) & lat.between(south, north)
-    return near & (F.aggregate(edge, F.lit(0), crossed) % 2 == 1) & ~F.exists(edge, holds)
+    beside = F.get(table, at)
+    inside = (F.aggregate(beside, F.lit(0), crossed) % 2 == 1) & ~F.exists(beside, holds)
+    return F.when(near, inside).otherwise(False)
 
 
 def tiles(df: DataFrame, box: tuple[float, float, float, float], zoom: int = 17) -> DataFrame:

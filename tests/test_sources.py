@@ -116,3 +116,30 @@ def test_post_says_the_status(tmp_path):
     assert [post("{}"), post("{}")] == [200, 404] and got[0] == ("Bearer key", b"{}")
     server.shutdown()
     assert arguments(["submit", "f", "--dry-run"]).dry_run and arguments(["gallery", "r", "--services", "m"]).sample == 100
+
+
+def test_within_an_area_of_many_edges(spark):
+    import math
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    ring = [((1 + 0.6 * rng.random()) * math.cos(a), (1 + 0.6 * rng.random()) * math.sin(a)) for a in (2 * math.pi * i / 400 for i in range(400))]
+    hole = [(-0.5, -0.5), (0.5, -0.5), (0.5, 0.25), (-0.5, 0.25)]
+    area = geo.rings({"type": "MultiPolygon", "coordinates": [[[*ring, ring[0]], [*hole, hole[0]]], [[(2, 0), (3, 0), (3, 1), (2, 0)]]]})
+    spread = [(rng.uniform(-2, 3.2), rng.uniform(-2, 2)) for _ in range(2000)]
+    points = [*spread, *ring, *hole, (0.0, 0.25), (0.5, 0.0), (0.0, 0.3), (2.5, 0.0), (2.75, 0.5), (3.0, 1.0)]
+
+    def inside(x, y):
+        odd = False
+        for x1, y1, x2, y2 in geo.edges(area):
+            if (x2 - x1) * (y - y1) == (y2 - y1) * (x - x1) and min(x1, x2) <= x <= max(x1, x2) and min(y1, y2) <= y <= max(y1, y2):
+                return False
+            odd ^= (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1
+        return odd
+
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(points)], "i int, x double, y double")
+    got = {r[0] for r in df.filter(geo.within(area, F.col("x"), F.col("y"))).select("i").collect()}
+    assert got == {i for i, p in enumerate(points) if inside(*p)} and len(got) > 300
+    assert len(geo.bands(area)) > 50 and spark.createDataFrame([(None, 0.0)], "x double, y double").filter(geo.within(area, F.col("x"), F.col("y"))).count() == 0
