@@ -70,9 +70,9 @@ def within(area: list[Ring], lon: Column, lat: Column, tolerance: float = 0.0) -
     the ends of edges get their band by one monotone formula, so no edge beside a point is missed."""
     west, south, east, north = bbox(area)
     banded = bands(area)
-    kind = "array<struct<x1:double,y1:double,x2:double,y2:double>>"
-    one = lambda e: "named_struct(" + ",".join(f"'{k}',{v!r}D" for k, v in zip(("x1", "y1", "x2", "y2"), e, strict=True)) + ")"
-    table = F.expr("array(" + ",".join(f"cast(array({','.join(map(one, band))}) as {kind})" for band in banded) + ")")
+    # as text, which is parsed once: an expression for each number would take longer than the points
+    entries = [[dict(zip(("x1", "y1", "x2", "y2"), e, strict=True)) for e in band] for band in banded]
+    table = F.from_json(F.lit(json.dumps(entries)), "array<array<struct<x1:double,y1:double,x2:double,y2:double>>>")
     n = len(banded)
     at = F.least(F.lit(n - 1), ((lat - south) / (north - south) * n).cast("int")) if n > 1 else F.lit(0)
 
