@@ -190,7 +190,7 @@ def props_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.table(spark, sf_dir, "events").groupBy(F.get_json_object("props", "$.k").alias("k")).agg(F.count("*").alias("n"))
 
 
-def record_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, d = s.panos(spark, sf_dir), s.detections(spark, sf_dir)
     df = p.join(d, p["o_orderkey"] == d["l_orderkey"], "left").select(
         F.col("pid").alias("pano_id"), "lat", "lon", F.lit("launch").alias("source"), F.struct(F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month")).alias("date"),
@@ -199,7 +199,16 @@ def record_json(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("array<struct<id:string,date:struct<year:int,month:int>>>").alias("historical"), F.lit(None).cast("array<struct<pano_id:string,direction:double,address:array<struct<value:string>>>>").alias("links"),
         F.coalesce(F.transform("dets", lambda x: F.struct(x["x_normalized"].alias("x_normalized"), x["y_normalized"].alias("y_normalized"), x["confidence"].alias("confidence"))), F.array().cast("array<struct<x_normalized:double,y_normalized:double,confidence:double>>")).alias("detections"),
     )
-    return records.as_json(records.payloads(records.build_records(df, "CurbRamp", "model", "01-01-2026", "v1")))
+    return records.build_records(df, "CurbRamp", "model", "01-01-2026", "v1")
+
+
+def record_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.as_json(records.payloads(_records(spark, sf_dir)))
+
+
+def record_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = [F.col(f"pano.{k}").alias(k) for k in ("panorama_id", "capture_date", "width", "height", "tile_width", "lat", "lng", "camera_heading", "camera_pitch", "source")]
+    return _records(spark, sf_dir).select(*p, "label_type", "model_id", F.size("detections").cast("long").alias("n_detections"), F.size("pano.links").cast("long").alias("n_links"))
 
 
 def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -301,7 +310,7 @@ QUERIES = {
     for f in (
         score_summary, score_unbiased, score_attested, threshold_sweep, judged_pool, recall_pool, wilson, missed_marks, verdict_mismatch,
         tile_of_point, tile_grid, area_bbox, pano_in_area, todo_anti_join, scan_summary, status_counts, record_units, history_filter,
-        pixel_payload, resume_anti_join, zero_detection_panos, top_dense, review_sample, crop_window, local_peaks, props_extract, record_json,
+        pixel_payload, resume_anti_join, zero_detection_panos, top_dense, review_sample, crop_window, local_peaks, props_extract, record_json, record_fields,
         gallery_crops, gallery_modes, review_progress, verdict_export, verdict_labels, legacy_verdicts, score_reports, calibrated_threshold,
         coverage_merge, failed_tiles, submission_summary, latest_record, first_with_detections, marker_places, pano_titles,
     )
@@ -363,6 +372,7 @@ SQL = {
     "props_extract": "select json_extract_string(props, '$.k') as k, count(*) as n from events group by 1",
 }
 SQL |= {
+    "record_fields": f"with {PANOS} select pid as panorama_id, year(o_orderdate) || '-' || lpad(month(o_orderdate)::varchar, 2, '0') as capture_date, {s.WIDTH} as width, {s.HEIGHT} as height, 512 as tile_width, lat, lon as lng, degrees({s.HEADING}) as camera_heading, 0e0 as camera_pitch, 'launch' as source, 'CurbRamp' as label_type, 'model' as model_id, (select count(*) from lineitem where l_orderkey = o_orderkey) as n_detections, 0::bigint as n_links from panos",
     "gallery_crops": f"with sample as ({SQL['review_sample']}), {DETS}, p as (select s.pid, s.\"group\", idx, conf, x, y, x * 4096e0 as px, y * 2048e0 as py from sample s join dets on cast(k as varchar) = s.pid), w as (select *, trunc(least(greatest(px - 256e0, 0e0), 3584e0)) as l, trunc(least(greatest(py - 256e0, 0e0), 1536e0)) as t from p)"
     " select pid, \"group\", pid || '_det' || (idx - 1) || '.jpg' as img, round(conf, 4) as conf, round(x, 5) as x, round(y, 5) as y, round((px - l) / 512e0, 4) as cx, round((py - t) / 512e0, 4) as cy from w",
     "gallery_modes": f"with {_STATES} select 'all' as mode, count(*) as n from rv union all select 'det', count(*) from rv where n > 0 union all select 'empty', count(*) from rv where n = 0 union all select 'todo', count(*) from rv where not reviewed",
