@@ -1,11 +1,16 @@
 """Main text of web pages by wrappers that are inferred for each host.
 
-A page is read as a token stream; its containers form a tree whose text slots are ``#``. Wrappers are
-union-free expressions over such trees: equal neighbours become a repeated group ``(x)+``, and where
-two pages of a host do not match, what only one of them has becomes an optional group ``(x)?``. The
-alignment of two wrappers is a wrapper again, so a host's pages are folded in any order and in parts:
-different trees of a host are counted first, folded within salts, and the parts folded once more. No
-task sees all pages of a host.
+A page is read as a token stream; its containers form a tree, whose leaves are texts: constants, by
+block tag and words, or slots ``#``. Wrappers are union-free expressions over such trees: equal
+neighbours become a repeated group ``(x)+``, and where two pages of a host do not match, what only one
+of them has becomes an optional group ``(x)?``. A text can be a constant if it is on OFTEN of the
+host's different pages that have its container; all others mismatch and are slots at once. The
+alignment of two wrappers is a wrapper again and adds up how many pages have each constant and each
+container, so a host's pages are folded in any order and in parts: different trees of a host are
+counted first, folded within salts, and the parts folded once more. No task sees all pages of a host.
+
+A constant that OFTEN of the pages have at its place in the wrapper is template text. A page is matched
+to the wrapper, and its texts at such places are dropped; the same words at another place stay.
 
 The main slots of a wrapper are those under its article containers, or, in a host that marks none,
 under the container with the most text outside links; menus, headers, footers, sidebars, notices,
@@ -19,10 +24,13 @@ rows give repeated results; an empty table gives no rows; other input columns ma
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -32,6 +40,10 @@ from pyspark.sql import functions as F
 from panoquarry.llm.runtime import Scratch
 
 SALTS = 16
+#: Template text is on so many different pages, and in so many hundredths of those that have its container.
+LEAST_PAGES, OFTEN = 3, 90
+#: Longer alignments take the nearest match in place of the longest run.
+LONGEST_RUN = 250_000
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(script|style|noscript|template|svg|math|title|textarea|iframe|object|canvas)\b[^>]*(?<!/)>.*?(?:</\1\s*>|\Z)"
@@ -86,12 +98,14 @@ def _unwanted(tag: str, attributes: str, in_article: bool) -> tuple[bool, str]:
 
 class Page:
     """Blocks of a page in order: path of containers, text, characters in links, unwanted. With tree,
-    also the nested containers."""
+    also the nested containers. With keyed, their texts are places in blocks, and keys has the hash of
+    each block's tag and text."""
 
-    def __init__(self, source: str, tree: bool = False):
+    def __init__(self, source: str, tree: bool = False, keyed: bool = False):
         self.blocks: list[tuple[str, str, int, bool]] = []
         self.root: list = ["", []]
-        self._tree = tree
+        self.keys: list[str] = []
+        self._tree, self._keyed = tree or keyed, keyed
         # of each open element: tag, path, unwanted, node, within an article
         self._open: list[tuple[str, str, bool, list, bool]] = [("", "", False, self.root, False)]
         self._text: list[str] = []
@@ -121,7 +135,11 @@ class Page:
             if text:
                 _, path, unwanted, node, _ = self._open[-1]
                 self.blocks.append((path, text, min(self._linked, len(text)), unwanted))
-                if self._tree and (not node[1] or node[1][-1] != "#"):
+                if self._keyed:
+                    tag = next((e[0] for e in reversed(self._open) if e[0] in _BLOCK), "")
+                    self.keys.append(hashlib.blake2b(f"{tag} {text}".encode("utf-8", "surrogatepass"), digest_size=8).hexdigest())
+                    node[1].append(len(self.blocks) - 1)
+                elif self._tree and (not node[1] or node[1][-1] != "#"):
                     node[1].append("#")
             self._text.clear()
         self._linked = 0
@@ -176,58 +194,138 @@ class Page:
                 return
 
 
-# A wrapper is a list of items [node, optional, repeated]; a node is "#" or [label, wrapper].
+# A wrapper is a list of items [node, optional, repeated]; a node is "#", a constant ["=key", pages] or
+# [label, wrapper]. The constant "=" begins a container and counts the pages that have it.
+
+
+def _constant(node) -> bool:
+    return node[0][0] == "="
 
 
 def _same(a, b) -> bool:
     return a[0] == b[0] if a != "#" and b != "#" else a == b
 
 
+def _both(a, b):
+    """The node of two that are the same."""
+    if a == "#":
+        return a
+    return [a[0], a[1] + b[1] if _constant(a) else align(a[1], b[1])]
+
+
 def wrapper_of(children: list) -> list:
     """A page's tree as a wrapper: equal neighbours become one repeated group."""
     out: list = []
     for node in children:
-        item = node if node == "#" else [node[0], wrapper_of(node[1])]
+        item = node if node == "#" or _constant(node) else [node[0], wrapper_of(node[1])]
         if out and _same(out[-1][0], item):
-            if item != "#":
-                out[-1][0] = [item[0], align(out[-1][0][1], item[1])]
+            if item != "#" and not _constant(item):
+                out[-1][0] = _both(out[-1][0], item)
             out[-1][2] = True
         else:
             out.append([item, False, False])
     return out
 
 
+def _matches(a: list, b: list) -> list[tuple[int, int]]:
+    """Places of the longest common run of two lists of names, in order."""
+    lo, n, m = 0, len(a), len(b)
+    while lo < min(n, m) and a[lo] == b[lo]:
+        lo += 1
+    while n > lo and m > lo and a[n - 1] == b[m - 1]:
+        n, m = n - 1, m - 1
+    out = [(i, i) for i in range(lo)]
+    if (n - lo) * (m - lo) > LONGEST_RUN:
+        at: dict = {}
+        for j in range(lo, m):
+            at.setdefault(b[j], []).append(j)
+        j = lo
+        for i in range(lo, n):
+            there = at.get(a[i], ())
+            k = bisect_left(there, j)
+            if k < len(there) and there[k] - j <= max(64, m - n):
+                out.append((i, there[k]))
+                j = there[k] + 1
+    elif n > lo and m > lo:
+        best = [[0] * (m - lo + 1) for _ in range(n - lo + 1)]
+        for i in range(n - lo - 1, -1, -1):
+            row, below = best[i], best[i + 1]
+            for j in range(m - lo - 1, -1, -1):
+                row[j] = below[j + 1] + 1 if a[lo + i] == b[lo + j] else max(below[j], row[j + 1])
+        i = j = 0
+        while i < n - lo and j < m - lo:
+            if a[lo + i] == b[lo + j]:
+                out.append((lo + i, lo + j))
+                i, j = i + 1, j + 1
+            elif best[i + 1][j] >= best[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+    return out + [(n + k, m + k) for k in range(len(a) - n)]
+
+
 def align(a: list, b: list) -> list:
-    """The wrapper of what two wrappers match. Matches are the longest common run of labels; what
-    only one has becomes optional."""
-    if a == b:
-        return a
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + 1 if _same(a[i][0], b[j][0]) else 0)
+    """The wrapper of what two wrappers match. Matches are the longest common run of labels, constants
+    and slots; what only one has becomes optional."""
     out: list = []
-    i = j = 0
 
     def add(node, optional: bool, repeated: bool) -> None:
         if out and _same(out[-1][0], node):
-            if node != "#":
-                out[-1][0] = [node[0], align(out[-1][0][1], node[1])]
-            out[-1][1], out[-1][2] = out[-1][1] and optional, True
+            out[-1] = [_both(out[-1][0], node), out[-1][1] and optional, True]
         else:
             out.append([node, optional, repeated])
 
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and _same(a[i][0], b[j][0]) and best[i][j] == best[i + 1][j + 1] + 1:
-            node = a[i][0] if a[i][0] == "#" else [a[i][0][0], align(a[i][0][1], b[j][0][1])]
-            add(node, a[i][1] or b[j][1], a[i][2] or b[j][2])
-            i, j = i + 1, j + 1
-        elif j == len(b) or i < len(a) and best[i + 1][j] >= best[i][j + 1]:
-            add(a[i][0], True, a[i][2])
-            i += 1
+    i = j = 0
+    for p, q in [*_matches([x[0][0] for x in a], [x[0][0] for x in b]), (len(a), len(b))]:
+        for item in (*a[i:p], *b[j:q]):
+            add(item[0], True, item[2])
+        if p < len(a):
+            add(_both(a[p][0], b[q][0]), a[p][1] or b[q][1], a[p][2] or b[q][2])
+        i, j = p + 1, q + 1
+    return out
+
+
+def _weighed(wrapper: list, pages: int) -> list:
+    """The wrapper of a tree that so many pages have."""
+    return [[node if node == "#" else [node[0], node[1] * pages if _constant(node) else _weighed(node[1], pages)], optional, repeated] for node, optional, repeated in wrapper]
+
+
+def _begun(wrapper: list) -> int:
+    """How many pages have a container."""
+    return wrapper[0][0][1] if wrapper and wrapper[0][0][0] == "=" else 0
+
+
+def _template(node, pages: int) -> bool:
+    return node != "#" and len(node[0]) > 1 and _constant(node) and node[1] >= LEAST_PAGES and 100 * node[1] >= OFTEN * pages
+
+
+def any_template(wrapper: list) -> bool:
+    pages = _begun(wrapper)
+    return any(_template(node, pages) or node != "#" and not _constant(node) and any_template(node[1]) for node, _, _ in wrapper)
+
+
+def template_blocks(page: Page, children: list, wrapper: list) -> set[int]:
+    """Which blocks of a keyed page stand at places of template text, by matching it to the wrapper."""
+    constants = {node[0] for node, _, _ in wrapper if node != "#" and _constant(node)}
+    runs: list[tuple[str, list]] = []
+    for node in children:
+        if isinstance(node, int):
+            name = "#" if page.blocks[node][3] or (name := "=" + page.keys[node]) not in constants else name
+        else:
+            name = node[0]
+        if runs and runs[-1][0] == name:
+            runs[-1][1].append(node)
         else:
-            add(b[j][0], True, b[j][2])
-            j += 1
+            runs.append((name, [node]))
+    runs = [x for x in runs if x[0] != "#"]
+    items = [x[0] for x in wrapper if x[0] != "#" and x[0][0] != "="]
+    pages, out = _begun(wrapper), set()
+    for p, q in _matches([x[0] for x in runs], [x[0] for x in items]):
+        if not _constant(items[q]):
+            for node in runs[p][1]:
+                out |= template_blocks(page, node[1], items[q][1])
+        elif _template(items[q], pages):
+            out.update(runs[p][1])
     return out
 
 
@@ -235,7 +333,9 @@ def expression(wrapper: list) -> str:
     """A wrapper in words: <nav>#</nav>(<div.ad>#</div.ad>)?<article>(#)+</article>"""
     out = []
     for node, optional, repeated in wrapper:
-        text = "#" if node == "#" else f"<{node[0]}>{expression(node[1])}</{node[0]}>"
+        if node[0] == "=":
+            continue
+        text = "#" if node == "#" else node[0] if _constant(node) else f"<{node[0]}>{expression(node[1])}</{node[0]}>"
         out.append(f"({text}){'*' if optional and repeated else '?' if optional else '+'}" if optional or repeated else text)
     return "".join(out)
 
@@ -244,7 +344,8 @@ def slots(wrapper: list, path: str = "") -> set[str]:
     """Paths of the containers that hold text."""
     out = set()
     for node, _, _ in wrapper:
-        out |= {path} if node == "#" else slots(node[1], f"{path}/{node[0]}")
+        if node[0] != "=":
+            out |= {path} if node == "#" or _constant(node) else slots(node[1], f"{path}/{node[0]}")
     return out
 
 
@@ -273,40 +374,99 @@ def _mass(blocks: list[tuple[str, str, int, bool]]) -> dict[str, int]:
     return out
 
 
-def page_text(source: str, main: frozenset[str]) -> str:
-    """The text of a page's blocks in the main slots, or in those of its own tree."""
-    blocks = Page(source).blocks
+def page_text(source: str, main: frozenset[str], wrapper: list | None = None) -> str:
+    """The text of a page's blocks in the main slots, or in those of its own tree. What the wrapper has
+    as template text is left out."""
+    page = Page(source, keyed=bool(wrapper))
+    blocks = page.blocks
+    template = template_blocks(page, page.root[1], wrapper) if wrapper else set()
     for known in (main, None):
         if known is None:
             mass = _mass(blocks)
-            known = frozenset(main_slots(set(mass), mass))
-        text = " ".join(b[1] for b in blocks if not b[3] and b[0] in known)
+            known, template = frozenset(main_slots(set(mass), mass)), set()
+        text = " ".join(b[1] for i, b in enumerate(blocks) if not b[3] and b[0] in known and i not in template)
         if text:
             return text
     return ""
 
 
-_TREES = "host string, tree string, paths array<string>, mass array<bigint>"
+def _told(page: Page, children: list) -> list:
+    """A keyed page's tree with key:characters outside links in place of its texts."""
+    out: list = []
+    for node in children:
+        if not isinstance(node, int):
+            out.append([node[0], _told(page, node[1])])
+        elif not page.blocks[node][3]:
+            out.append(f"{page.keys[node]}:{max(len(page.blocks[node][1]) - page.blocks[node][2], 0)}")
+        elif not out or out[-1] != "#":
+            out.append("#")
+    return out
 
 
 def _read_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        trees, paths, mass = [], [], []
+        trees = []
         for source in batch.column(1):
-            page = Page(source.as_py() or "", tree=True)
-            trees.append(json.dumps(wrapper_of(page.root[1])))
-            own = _mass(page.blocks)
-            paths.append(list(own))
-            mass.append(list(own.values()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(trees, pa.string()), pa.array(paths, pa.list_(pa.string())), pa.array(mass, pa.list_(pa.int64()))], ["host", "tree", "paths", "mass"])
+            page = Page(source.as_py() or "", keyed=True)
+            trees.append(json.dumps(_told(page, page.root[1])))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(trees, pa.string())], ["host", "tree"])
+
+
+def _texts(children: list, path: str, out: set[tuple[str, str | None]]) -> None:
+    for node in children:
+        if not isinstance(node, str):
+            _texts(node[1], f"{path}/{node[0]}", out)
+        elif node != "#":
+            out |= {(path, None), (path, node.partition(":")[0])}
+
+
+def _read_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """host, path, key: the different texts of each tree; key null: the paths."""
+    for batch in batches:
+        hosts, found = [], []
+        for host, tree in zip(batch.column(0), batch.column(1), strict=True):
+            own: set[tuple[str, str | None]] = set()
+            _texts(json.loads(tree.as_py()), "", own)
+            hosts += [host.as_py()] * len(own)
+            found += own
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.string())], ["host", "path", "key"])
+
+
+def _general(children: list, constants: frozenset[str], path: str, mass: dict[str, int]) -> list:
+    """A tree whose texts are constants or slots; mass is added up without the constants."""
+    out: list = [["=", 1]]
+    for node in children:
+        if not isinstance(node, str):
+            out.append([node[0], _general(node[1], constants, f"{path}/{node[0]}", mass)])
+            continue
+        key, _, size = node.partition(":")
+        if f"{path} {key}" in constants:
+            out.append(["=" + key, 1])
+            continue
+        mass[path] = mass.get(path, 0) + int(size or 0)
+        if out[-1] != "#":
+            out.append("#")
+    return out
+
+
+def _read_general(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        trees, paths, masses = [], [], []
+        for tree, known in zip(batch.column(1), batch.column(2), strict=True):
+            mass: dict[str, int] = {}
+            trees.append(json.dumps(wrapper_of(_general(json.loads(tree.as_py()), frozenset(known.as_py() or ()), "", mass))))
+            paths.append(list(mass))
+            masses.append(list(mass.values()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(trees, pa.string()), pa.array(paths, pa.list_(pa.string())), pa.array(masses, pa.list_(pa.int64()))], ["host", "tree", "paths", "mass"])
 
 
 def _fold(rows: pd.DataFrame) -> pd.DataFrame:
-    trees = sorted(rows["tree"])
-    out = json.loads(trees[0])
-    for tree in trees[1:]:
-        out = align(out, json.loads(tree))
-    return pd.DataFrame({"host": [rows["host"].iloc[0]], "tree": [json.dumps(out)]})
+    found = sorted(zip(rows["tree"], rows["pages"], strict=True))
+    out = None
+    for tree, pages in found:
+        one = _weighed(json.loads(tree), int(pages))
+        out = one if out is None else align(out, one)
+    return pd.DataFrame({"host": [rows["host"].iloc[0]], "tree": [json.dumps(out)], "pages": [1]})
 
 
 def _input(pages: DataFrame) -> DataFrame:
@@ -315,34 +475,49 @@ def _input(pages: DataFrame) -> DataFrame:
 
 
 def infer_wrappers(spark: SparkSession, pages: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """host, wrapper (an expression), main (paths of the slots of the main text)."""
+    """host, tree (the wrapper as JSON), wrapper (as an expression), main (paths of the slots of the
+    main text)."""
     scratch = scratch or Scratch(spark, "wrappers")
-    read = scratch.keep(_input(pages).select("host", "html").mapInArrow(_read_trees, _TREES), "trees")
+    # copies of a page count once
+    told = scratch.keep(_input(pages).select("host", "html").mapInArrow(_read_trees, "host string, tree string").distinct(), "told")
+    count = told.mapInArrow(_read_texts, "host string, path string, key string").groupBy("host", "path", "key").agg(F.count("*").alias("n"))
+    count = scratch.keep(count.filter(f"key is null or n >= {LEAST_PAGES}"), "count")
+    often = count.filter("key is not null").join(count.filter("key is null").select("host", "path", F.col("n").alias("pages")), ["host", "path"]).filter(f"100 * n >= {OFTEN} * pages")
+    often = scratch.keep(often.groupBy("host").agg(F.collect_list(F.concat_ws(" ", "path", "key")).alias("known")), "often")
+    met = told.join(scratch.sized(often, "often"), "host", "left").select("host", "tree", "known")
+    read = scratch.keep(met.mapInArrow(_read_general, "host string, tree string, paths array<string>, mass array<bigint>"), "trees")
     mass = read.select("host", F.explode(F.arrays_zip("paths", "mass")).alias("p")).groupBy("host", F.col("p.paths").alias("path")).agg(F.sum("p.mass").alias("mass"))
     mass = mass.groupBy("host").agg(F.collect_list("path").alias("paths"), F.collect_list("mass").alias("mass"))
-    parts = read.select("host", "tree").distinct().withColumn("salt", F.pmod(F.xxhash64("tree"), F.lit(SALTS)))
-    parts = parts.groupBy("host", "salt").applyInPandas(lambda rows: _fold(rows), "host string, tree string")
-    folded = parts.groupBy("host").applyInPandas(lambda rows: _fold(rows), "host string, tree string")
+    parts = read.groupBy("host", "tree").agg(F.count("*").alias("pages")).withColumn("salt", F.pmod(F.xxhash64("tree"), F.lit(SALTS)))
+    parts = parts.groupBy("host", "salt").applyInPandas(lambda rows: _fold(rows), "host string, tree string, pages long")
+    folded = parts.groupBy("host").applyInPandas(lambda rows: _fold(rows), "host string, tree string, pages long")
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pylist()
             trees = [json.loads(r["tree"]) for r in rows]
-            main = [main_slots(slots(t), dict(zip(r["paths"], r["mass"], strict=True))) for t, r in zip(trees, rows, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(expression, trees), pa.string()), pa.array(main, pa.list_(pa.string()))], ["host", "wrapper", "main"])
+            main = [main_slots(slots(t), dict(zip(r["paths"] or (), r["mass"] or (), strict=True))) for t, r in zip(trees, rows, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(expression, trees), pa.string()), pa.array(main, pa.list_(pa.string()))], ["host", "tree", "wrapper", "main"])
+
+    return folded.join(mass, "host", "left").select("host", "tree", "paths", "mass").mapInArrow(choose, "host string, tree string, wrapper string, main array<string>")
+
 
-    return folded.join(mass, "host").select("host", "tree", "paths", "mass").mapInArrow(choose, "host string, wrapper string, main array<string>")
+@lru_cache(maxsize=64)
+def _matched(tree: str) -> list | None:
+    """A wrapper that has template text, or None."""
+    wrapper = json.loads(tree)
+    return wrapper if any_template(wrapper) else None
 
 
 def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each row of pages (query op5)."""
     scratch = Scratch(spark, "html")
-    wrappers = scratch.keep(infer_wrappers(spark, pages, scratch).select("host", "main"), "wrappers")
+    wrappers = scratch.keep(infer_wrappers(spark, pages, scratch).select("host", "tree", "main"), "wrappers")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [page_text(source.as_py() or "", frozenset(main.as_py() or ())) for source, main in zip(batch.column(2), batch.column(3), strict=True)]
+            texts = [page_text(source.as_py() or "", frozenset(main.as_py() or ()), _matched(tree.as_py() or "[]")) for source, main, tree in zip(batch.column(2), batch.column(3), batch.column(4), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    met = _input(pages).join(scratch.sized(wrappers, "wrappers"), "host", "left").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", "main")
+    met = _input(pages).join(scratch.sized(wrappers, "wrappers"), "host", "left").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", "main", "tree")
     return met.mapInArrow(read, "page_id long, url string, text string, n_chars long")

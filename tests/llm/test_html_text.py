@@ -55,3 +55,20 @@ def test_alignment(a, b, want):
     one, two = (html_text.wrapper_of(html_text.Page(x, tree=True).root[1]) for x in (a, b))
     assert html_text.expression(html_text.align(one, two)) == want
     assert html_text.align(one, one) == one
+
+
+def test_template_text(spark):
+    """What is word for word at one place of all pages goes, whatever its class; elsewhere it stays."""
+    ask = "<div class='x7'>Read with us</div>"
+    page = "<article><p>one {0}</p><p>two {0}</p>{1}<p>All rights kept.</p></article>"
+    rows = [(i, "http://t.example/x", page.format(f"word{i}", ask)) for i in range(6)]
+    rows += [(9, "http://t.example/x", page.format("<b>last</b></p><p>All rights kept.</p><p>x", ask)), (10, "http://one.example", page.format("a", ask))]
+    got = run(spark, rows)
+    assert all(got[i] == f"one word{i} two word{i}" for i in range(6))
+    assert got[9].count("All rights kept.") == 2 and "Read with us" not in got[9]
+    assert got[10] == "one a two a Read with us All rights kept."
+
+
+def test_identical_pages_keep_their_text(spark):
+    rows = [(i, "http://c.example/x", "<article><p>a</p><p>b</p></article>") for i in range(5)]
+    assert set(run(spark, rows).values()) == {"a b"}
