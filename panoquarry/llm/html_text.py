@@ -67,9 +67,27 @@ _WORDS = frozenset(
     " sidebar sidebars side rail menu menus nav navbar navigation breadcrumb breadcrumbs footer comment comments disqus respond reply replies discussion share sharing social related"
     " recommended recommendations newsletter subscribe subscription signup login search pagination pager widget widgets toolbar disclaimer copyright masthead topbar skip".split()
 )
+#: Words that with those above make a name of page furniture, such as share-buttons; words
+#: that alone may as well name a part of a text; elements that are text or its headings.
+_HELPERS = frozenset("bar bars block blocks box boxes btn btns button buttons container content form icon icons inner item items link links list main outer page panel post posts section site wrap wrapper area top bottom left right".split())
+_TOPICS = frozenset("side discussion reply replies respond social related search copyright disclaimer notice notices alert alerts promotion recommended recommendations comment share sharing skip overlay consent".split())
+_PROSE = frozenset("h1 h2 h3 h4 h5 h6 p section li dd dt td th blockquote pre figure figcaption table caption tr ul ol dl".split())
 _SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 
 
+def _furniture(tag: str, name: str, value: str, in_article: bool) -> bool:
+    """Whether a class or id tells page furniture. Any word does in containers outside articles; in text,
+    and within articles, a whole class or id must, or be made of such words and helpers only. A part of a
+    text may have a topic of one word as its id; the ids of headings and paragraphs never tell."""
+    parts = [{w.lower() for w in _SPLIT.split(x) if w} for x in value.split()]
+    if not in_article and tag not in _PROSE:
+        return any(x & _WORDS for x in parts)
+    if name == "id" and tag in _PROSE and tag != "section":
+        return False
+    parts = [x for x in parts if x & _WORDS and x <= _WORDS | _HELPERS]
+    return any(name == "class" or not (len(x) == 1 and x <= _TOPICS) for x in parts)
+
+
 def _unwanted(tag: str, attributes: str, in_article: bool) -> tuple[bool, str]:
     """Whether an element is no main text, and its label: tag, and first class or id."""
     label = tag
@@ -82,7 +100,7 @@ def _unwanted(tag: str, attributes: str, in_article: bool) -> tuple[bool, str]:
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
             words = {w.lower() for w in _SPLIT.split(value)}
-            out |= bool(words & _WORDS) or "header" in words and not in_article and tag not in ("article", "main")
+            out |= _furniture(tag, name, value, in_article) or "header" in words and not in_article and tag not in ("article", "main")
             if label == tag and value.split():
                 label += "." + re.sub(r"[^A-Za-z_-]+", "", value.split()[0])
         elif name == "role":

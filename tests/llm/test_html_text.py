@@ -72,3 +72,15 @@ def test_template_text(spark):
 def test_identical_pages_keep_their_text(spark):
     rows = [(i, "http://c.example/x", "<article><p>a</p><p>b</p></article>") for i in range(5)]
     assert set(run(spark, rows).values()) == {"a b"}
+
+
+@pytest.mark.parametrize("part", ['<section id="discussion">k</section>', '<h2 id="related-work">k</h2>', '<h2 id="social-impact">k</h2>', '<p class="side-effects">k</p>', '<section id="search-algorithms">k</section>', '<div id="copyright-law">k</div>', '<div id="related-work" class="section">k</div>', '<div class="ad-hoc-networks">k</div>'])
+@pytest.mark.parametrize("outer", ["article", "main"])
+def test_words_in_a_text(outer, part):
+    source = f"<{outer}><p>a</p>{part}<div class='share-buttons'>s</div><div id='comments'>c</div><p class='advert'>b</p></{outer}>"
+    assert [b[1] for b in html_text.Page(source).blocks if not b[3]] == ["a", "k"]
+
+
+def test_words_in_headings_of_unmarked_pages():
+    source = "<div class=content><h2 id='related-work'>h</h2><p class='side-effects'>k</p><div class='left-sidebar'>x</div></div>"
+    assert [b[1] for b in html_text.Page(source).blocks if not b[3]] == ["h", "k"]
