@@ -12,8 +12,9 @@ counted first, folded within salts, and the parts folded once more. No task sees
 A constant that OFTEN of the pages have at its place in the wrapper is template text. A page is matched
 to the wrapper, and its texts at such places are dropped; the same words at another place stay.
 
-The main slots of a wrapper are those under its article containers, or, in a host that marks none,
-under the container with the most text outside links; menus, headers, footers, sidebars, notices,
+The main slots of a page are those under its article containers, or, in a layout that marks none, all
+whose text over the host's pages is mostly outside links, those below the one with the most text, and
+lists of links that less text than around them makes up; a page's layout is the set of its paths. Menus, headers, footers, sidebars, notices,
 adverts, forms and comments are told by tag, role and the words of class and id. A page's text is its
 blocks in those slots. A page without any (cut off, or of another make) falls back to its own tree.
 
@@ -367,41 +368,57 @@ def slots(wrapper: list, path: str = "") -> set[str]:
     return out
 
 
-def _is_main(label: str) -> bool:
-    return label.partition(".")[0] in ("article", "main")
+Sizes = dict[str, list[int]]
 
 
-def main_slots(paths: set[str], mass: dict[str, int]) -> list[str]:
-    """The slots of the main text. mass: characters of wanted text outside links by path."""
-    wanted = {p for p in paths if mass.get(p, 0) > 0}
-    marked = {p for p in wanted if any(map(_is_main, p.split("/")))}
-    if any("article" == x.partition(".")[0] for p in marked for x in p.split("/")):
-        marked = {p for p in marked if any("article" == x.partition(".")[0] for x in p.split("/"))}
-    if marked:
-        return sorted(marked)
+def main_slots(paths: frozenset[str], sizes: Sizes) -> list[str]:
+    """The slots of the main text among the paths of a layout. sizes: characters of wanted text outside
+    links, and of all wanted text, by path."""
+    mass = {p: sizes.get(p, (0, 0))[0] for p in paths}
+    for kinds in (("article",), ("article", "main")):
+        marked = {p for p in paths if any(x.partition(".")[0] in kinds for x in p.split("/"))}
+        if any(mass[p] for p in marked):
+            return sorted(marked)
+    wanted = {p for p in paths if mass[p] > 0}
     if not wanted:
         return []
     top = max(sorted(wanted), key=lambda p: mass[p])
-    return sorted(p for p in wanted if p == top or p.startswith(top + "/"))
+    prose = {p for p in wanted if p == top or 2 * mass[p] >= sizes[p][1]}
 
+    def within(p: str) -> bool:
+        around = max((q for q in prose if p.startswith(q + "/")), key=len, default=None)
+        return around is not None and mass[around] >= sizes.get(p, (0, 0))[1]
 
-def _mass(blocks: list[tuple[str, str, int, bool]]) -> dict[str, int]:
-    out: dict[str, int] = {}
+    return sorted(p for p in paths if p in prose or p.startswith(top + "/") or within(p))
+
+
+def _sizes(blocks: list[tuple[str, str, int, bool]]) -> Sizes:
+    out: Sizes = {}
     for path, text, linked, unwanted in blocks:
-        out[path] = out.get(path, 0) + (0 if unwanted else max(len(text) - linked, 0))
+        if not unwanted:
+            one = out.setdefault(path, [0, 0])
+            one[0] += max(len(text) - linked, 0)
+            one[1] += len(text)
     return out
 
 
-def page_text(source: str, main: frozenset[str], wrapper: list | None = None) -> str:
-    """The text of a page's blocks in the main slots, or in those of its own tree. What the wrapper has
+@lru_cache(maxsize=4096)
+def _main(sizes: str, paths: frozenset[str]) -> frozenset[str]:
+    return frozenset(main_slots(paths, _read_json(sizes)))
+
+
+def page_text(source: str, sizes: str = "{}", wrapper: list | None = None) -> str:
+    """The text of a page's blocks in the main slots by the host's sizes (as JSON), or in those of its own tree. What the wrapper has
     as template text is left out."""
     page = Page(source, keyed=bool(wrapper))
     blocks = page.blocks
     template = template_blocks(page, page.root[1], wrapper) if wrapper else set()
-    for known in (main, None):
-        if known is None:
-            mass = _mass(blocks)
-            known, template = frozenset(main_slots(set(mass), mass)), set()
+    own = _sizes(blocks)
+    for host in (True, False):
+        if host:
+            known = _main(sizes, frozenset(own))
+        else:
+            known, template = main_slots(frozenset(own), own), set()
         text = " ".join(b[1] for i, b in enumerate(blocks) if not b[3] and b[0] in known and i not in template)
         if text:
             return text
@@ -409,13 +426,14 @@ def page_text(source: str, main: frozenset[str], wrapper: list | None = None) ->
 
 
 def _told(page: Page, children: list) -> list:
-    """A keyed page's tree with key:characters outside links in place of its texts."""
+    """A keyed page's tree with key:characters outside links:characters in place of its texts."""
     out: list = []
     for node in children:
         if not isinstance(node, int):
             out.append([node[0], _told(page, node[1])])
         elif not page.blocks[node][3]:
-            out.append(f"{page.keys[node]}:{max(len(page.blocks[node][1]) - page.blocks[node][2], 0)}")
+            n = len(page.blocks[node][1])
+            out.append(f"{page.keys[node]}:{max(n - page.blocks[node][2], 0)}:{n}")
         elif not out or out[-1] != "#":
             out.append("#")
     return out
@@ -450,18 +468,21 @@ def _read_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.string())], ["host", "path", "key"])
 
 
-def _general(children: list, constants: frozenset[str], path: str, mass: dict[str, int]) -> list:
-    """A tree whose texts are constants or slots; mass is added up without the constants."""
+def _general(children: list, constants: frozenset[str], path: str, sizes: Sizes) -> list:
+    """A tree whose texts are constants or slots; sizes are added up without the constants."""
     out: list = [["=", 1]]
     for node in children:
         if not isinstance(node, str):
-            out.append([node[0], _general(node[1], constants, f"{path}/{node[0]}", mass)])
+            out.append([node[0], _general(node[1], constants, f"{path}/{node[0]}", sizes)])
             continue
-        key, _, size = node.partition(":")
+        key, *size = node.split(":")
         if f"{path} {key}" in constants:
             out.append(["=" + key, 1])
             continue
-        mass[path] = mass.get(path, 0) + int(size or 0)
+        if size:
+            one = sizes.setdefault(path, [0, 0])
+            one[0] += int(size[0])
+            one[1] += int(size[1])
         if out[-1] != "#":
             out.append("#")
     return out
@@ -469,13 +490,14 @@ def _general(children: list, constants: frozenset[str], path: str, mass: dict[st
 
 def _read_general(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        trees, paths, masses = [], [], []
+        trees, paths, found = [], [], []
         for tree, known in zip(batch.column(1), batch.column(2), strict=True):
-            mass: dict[str, int] = {}
-            trees.append(json.dumps(wrapper_of(_general(json.loads(tree.as_py()), frozenset(known.as_py() or ()), "", mass))))
-            paths.append(list(mass))
-            masses.append(list(mass.values()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(trees, pa.string()), pa.array(paths, pa.list_(pa.string())), pa.array(masses, pa.list_(pa.int64()))], ["host", "tree", "paths", "mass"])
+            sizes: Sizes = {}
+            trees.append(json.dumps(wrapper_of(_general(json.loads(tree.as_py()), frozenset(known.as_py() or ()), "", sizes))))
+            paths.append(list(sizes))
+            found.append(list(sizes.values()))
+        columns = (pa.array([[x[i] for x in one] for one in found], pa.list_(pa.int64())) for i in range(2))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(trees, pa.string()), pa.array(paths, pa.list_(pa.string())), *columns], ["host", "tree", "paths", "mass", "chars"])
 
 
 def _fold(rows: pd.DataFrame) -> pd.DataFrame:
@@ -494,7 +516,7 @@ def _input(pages: DataFrame) -> DataFrame:
 
 def infer_wrappers(spark: SparkSession, pages: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """host, tree (the wrapper as JSON), wrapper (as an expression), main (paths of the slots of the
-    main text)."""
+    main text, if a page has all), sizes (as JSON)."""
     scratch = scratch or Scratch(spark, "wrappers")
     # copies of a page count once
     told = scratch.keep(_input(pages).select("host", "html").mapInArrow(_read_trees, "host string, tree string").distinct(), "told")
@@ -503,9 +525,9 @@ def infer_wrappers(spark: SparkSession, pages: DataFrame, scratch: Scratch | Non
     often = count.filter("key is not null").join(count.filter("key is null").select("host", "path", F.col("n").alias("pages")), ["host", "path"]).filter(f"100 * n >= {OFTEN} * pages")
     often = scratch.keep(often.groupBy("host").agg(F.collect_list(F.concat_ws(" ", "path", "key")).alias("known")), "often")
     met = told.join(scratch.sized(often, "often"), "host", "left").select("host", "tree", "known")
-    read = scratch.keep(met.mapInArrow(_read_general, "host string, tree string, paths array<string>, mass array<bigint>"), "trees")
-    mass = read.select("host", F.explode(F.arrays_zip("paths", "mass")).alias("p")).groupBy("host", F.col("p.paths").alias("path")).agg(F.sum("p.mass").alias("mass"))
-    mass = mass.groupBy("host").agg(F.collect_list("path").alias("paths"), F.collect_list("mass").alias("mass"))
+    read = scratch.keep(met.mapInArrow(_read_general, "host string, tree string, paths array<string>, mass array<bigint>, chars array<bigint>"), "trees")
+    mass = read.select("host", F.explode(F.arrays_zip("paths", "mass", "chars")).alias("p")).groupBy("host", F.col("p.paths").alias("path")).agg(F.sum("p.mass").alias("mass"), F.sum("p.chars").alias("chars"))
+    mass = mass.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("path", "mass", "chars"))).alias("sizes"))
     parts = read.groupBy("host", "tree").agg(F.count("*").alias("pages")).withColumn("salt", F.pmod(F.xxhash64("tree"), F.lit(SALTS)))
     parts = parts.groupBy("host", "salt").applyInPandas(lambda rows: _fold(rows), "host string, tree string, pages long")
     folded = parts.groupBy("host").applyInPandas(lambda rows: _fold(rows), "host string, tree string, pages long")
@@ -514,10 +536,16 @@ def infer_wrappers(spark: SparkSession, pages: DataFrame, scratch: Scratch | Non
         for batch in batches:
             rows = batch.to_pylist()
             trees = [json.loads(r["tree"]) for r in rows]
-            main = [main_slots(slots(t), dict(zip(r["paths"] or (), r["mass"] or (), strict=True))) for t, r in zip(trees, rows, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(expression, trees), pa.string()), pa.array(main, pa.list_(pa.string()))], ["host", "tree", "wrapper", "main"])
+            sizes = [{x["path"]: [x["mass"], x["chars"]] for x in r["sizes"] or ()} for r in rows]
+            main = [main_slots(frozenset(slots(t)), x) for t, x in zip(trees, sizes, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(expression, trees), pa.string()), pa.array(main, pa.list_(pa.string())), pa.array(map(json.dumps, sizes), pa.string())], ["host", "tree", "wrapper", "main", "sizes"])
+
+    return folded.join(mass, "host", "left").select("host", "tree", "sizes").mapInArrow(choose, "host string, tree string, wrapper string, main array<string>, sizes string")
 
-    return folded.join(mass, "host", "left").select("host", "tree", "paths", "mass").mapInArrow(choose, "host string, tree string, wrapper string, main array<string>")
+
+@lru_cache(maxsize=64)
+def _read_json(source: str) -> Sizes:
+    return json.loads(source)
 
 
 @lru_cache(maxsize=64)
@@ -530,12 +558,12 @@ def _matched(tree: str) -> list | None:
 def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of each row of pages (query op5)."""
     scratch = Scratch(spark, "html")
-    wrappers = scratch.keep(infer_wrappers(spark, pages, scratch).select("host", "tree", "main"), "wrappers")
+    wrappers = scratch.keep(infer_wrappers(spark, pages, scratch).select("host", "tree", "sizes"), "wrappers")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [page_text(source.as_py() or "", frozenset(main.as_py() or ()), _matched(tree.as_py() or "[]")) for source, main, tree in zip(batch.column(2), batch.column(3), batch.column(4), strict=True)]
+            texts = [page_text(source.as_py() or "", sizes.as_py() or "{}", _matched(tree.as_py() or "[]")) for source, sizes, tree in zip(batch.column(2), batch.column(3), batch.column(4), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    met = _input(pages).join(scratch.sized(wrappers, "wrappers"), "host", "left").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", "main", "tree")
+    met = _input(pages).join(scratch.sized(wrappers, "wrappers"), "host", "left").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", "sizes", "tree")
     return met.mapInArrow(read, "page_id long, url string, text string, n_chars long")

@@ -84,3 +84,21 @@ def test_words_in_a_text(outer, part):
 def test_words_in_headings_of_unmarked_pages():
     source = "<div class=content><h2 id='related-work'>h</h2><p class='side-effects'>k</p><div class='left-sidebar'>x</div></div>"
     assert [b[1] for b in html_text.Page(source).blocks if not b[3]] == ["h", "k"]
+
+
+def test_text_beside_the_heaviest_container(spark):
+    """Headings, intros, siblings, rarer layouts and lists of links in an article are main text too."""
+    menu = "<div class=m1><a href=/>home</a> <a href=/x>all pages</a></div>"
+    nested = menu + "<div class=content><h1>h{0}</h1><p>intro{0}</p><section>" + "long{0} " * 20 + "</section></div>"
+    three = menu + "<div class=intro>i{0}</div><div class=body>" + "b{0} " * 30 + "</div><div class=outro>o{0}</div>"
+    rare = menu + "<div class=body>note{0}</div><div class=story>" + "s{0} " * 30 + "</div>"
+    refs = "<article><p>text{0} of it</p><ul><li><a href=/r>ref{0}</a></ul></article>"
+    rows = [(i, f"http://{h}.example/", page.format(i)) for i, (h, page) in enumerate([("n", nested)] * 4 + [("t", three)] * 8 + [("t", rare)] + [("r", refs)] * 4)]
+    got = run(spark, rows)
+    for i in range(4):
+        assert got[i] == f"h{i} intro{i}" + f" long{i}" * 20
+    for i in range(4, 12):
+        assert got[i] == f"i{i}" + f" b{i}" * 30 + f" o{i}"
+    assert got[12] == "note12" + " s12" * 30
+    for i in range(13, 17):
+        assert got[i] == f"text{i} of it ref{i}"
