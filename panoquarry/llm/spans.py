@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: No kind has a match of fewer code points; so many at most are in a context.
+SHORTEST = 4
 SPAN = "array<struct<start:bigint,end:bigint,hit:string,near:string>>"
 
 
@@ -28,28 +30,34 @@ class Kind:
 
 
 def _none() -> Column:
-    return F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("out"))
+    return F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("tail"), F.array().cast(SPAN).alias("out"))
 
 
 def _grow(hits: Column, gaps: Column, kind: Kind, context: int) -> Callable[[Column, Column], Column]:
-    """The step of a running sum: at: where the last match ended, out: the spans that stay."""
+    """The step of a running sum: at: where the last match ended, tail: the context's code points up to there, out: the spans that stay."""
 
     def step(acc: Column, i: Column) -> Column:
-        hit, before, after = hits[i], gaps[i], gaps[i + 1]
+        hit, before = hits[i], gaps[i]
+        after = [gaps[i + 1]]
+        for k in range(1, -(-(context // 2) // SHORTEST) + 1):
+            after += [F.get(hits, i + k), F.get(gaps, i + k + 1)]
         start = acc["at"] + F.length(before)
         end = start + F.length(hit)
-        near = F.lower(F.concat(F.right(before, F.lit(context)), F.lit(" "), F.left(after, F.lit(context // 2))))
+        # the window may hold other matches; parts are joined, as cutting the text itself walks it from its start
+        left = F.right(F.concat(acc["tail"], F.right(before, F.lit(context))), F.lit(context))
+        near = F.lower(F.concat(left, F.lit(" "), F.left(F.concat(*(F.left(F.coalesce(x, F.lit("")), F.lit(context // 2)) for x in after)), F.lit(context // 2))))
+        tail = F.right(F.concat(left, F.right(hit, F.lit(context))), F.lit(context))
         span = F.array(F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), hit.alias("hit"), near.alias("near")))
         grown = F.concat(acc["out"], span)
         out = grown if kind.valid is None else F.when(kind.valid(hit), grown).otherwise(acc["out"])
-        return F.struct(end.cast("long").alias("at"), out.cast(SPAN).alias("out"))
+        return F.struct(end.cast("long").alias("at"), tail.alias("tail"), out.cast(SPAN).alias("out"))
 
     return step
 
 
 def with_spans(df: DataFrame, text: str, kinds: list[Kind], context: int = 40) -> DataFrame:
     """df with a column ``_<name>`` of SPAN for each kind, by start. near: the lower-case text up to
-    ``context`` code points before and half as many after, as far as the next match."""
+    ``context`` code points before and half as many after, other matches among them."""
     hits, gaps, out = {}, {}, {}
     for k in kinds:
         all_hits = F.regexp_extract_all(F.col(text), F.lit(k.pattern), F.lit(0))

@@ -93,6 +93,12 @@ def test_added_kinds(spark):
     assert got[1] == "iban:5:32" and got[2] == "" and got[3] == "card_short:10:25" and got[4] == "" and "national:4:15" in got[5]
 
 
+def test_context_reaches_over_other_matches(spark):
+    texts = ["SSN: 123-45-6789, 234-56-7891, 345-67-8912", "amex cards 378282246310005, 371449635398431", "😀" * 50 + "ssn 123-45-6789 234-56-7891" + "x" * 50, "ssn " + "y" * 37 + " 123-45-6789", "123-45-6789 " + "z" * 19 + " ssn"]
+    got = {r["doc_id"]: r["spans"] for r in pii.pii_digest(documents(spark, [(i, t, None, None, 0) for i, t in enumerate(texts)])).collect()}
+    assert got == {0: "national:5:16,national:18:29,national:31:42", 1: "card_short:11:26,card_short:28:43", 2: "national:54:65,national:66:77", 3: "", 4: ""}
+
+
 def test_linked_parts(spark):
     key = "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY12"
     rows = [
