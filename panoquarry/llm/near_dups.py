@@ -5,14 +5,15 @@ one row goes on. A signature has SYMBOLS minhashes of 16 bits each (512 bits), d
 chunks. If two signatures differ in at most ``2 * CHUNKS - 1`` symbols, by pigeonhole some chunk
 differs in one symbol at most; every chunk is therefore indexed once for each symbol left out, which
 enumerates the allowed chunk errors, so that the join on these keys finds all pairs within that
-distance. At a similarity of 0.8 the distance of 15 of 32 is passed with a probability of 1e-4, and
-even then the keys miss only if all chunks differ in two symbols (about 1e-6).
+distance, and those beyond it of which some chunk differs in one symbol at most. The keys miss a pair
+only if all chunks differ in two symbols or more (about 1e-6 at a similarity of 0.8); no pair that they
+find is dropped for its distance.
 
 Groups are not expanded into pairs. First the smallest class under each key is compared with the
 others under it (a star), then the class with most links with those in other components. Links are
 confirmed on full sets and give components. Only classes under a key that are not in one component
-even then are paired with each other, where sizes, signatures and parity sketches allow a link. The
-last is a bound that never fails, so no link between different components is lost, and a group of
+even then are paired with each other, where sizes and parity sketches allow a link. Both are bounds
+that never fail, so no link between different components that a key found is lost, and a group of
 thousands costs about as many comparisons as it has members.
 
 Cases: a null text, an empty one, or one without words has an empty set, linked with nothing; a text
@@ -39,7 +40,6 @@ SYMBOLS = 32
 PARITY = 16
 CHUNK = 4
 CHUNKS = SYMBOLS // CHUNK
-MOST_DIFFER = 2 * CHUNKS - 1
 _SEEDS = mix(np.arange(1, SYMBOLS + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
 
 
@@ -153,19 +153,14 @@ def _keys() -> Column:
 
 
 def _may_link(a: str, b: str, percent: int) -> Column:
-    """What holds for all links between classes a and b (n, c0.., p0..): sizes, the distance of the
-    signatures, and the distance of the parity sketches, which is at most that of the sets."""
+    """What holds for all links between classes a and b (n, p0..): sizes, and the distance of the
+    parity sketches, which is at most that of the sets."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
     apart = F.lit(0)
     for c in range(PARITY):
         apart = apart + F.bit_count(F.col(f"{a}.p{c}").bitwiseXOR(F.col(f"{b}.p{c}")))
-    differ = F.lit(0)
-    for c in range(CHUNKS):
-        x = F.col(f"{a}.c{c}").bitwiseXOR(F.col(f"{b}.c{c}"))
-        for j in range(CHUNK):
-            differ = differ + F.when(F.shiftrightunsigned(x, 16 * j).bitwiseAND(F.lit(0xFFFF)) != 0, 1).otherwise(0)
     # |A ^ B| = |A| + |B| - 2 |A & B|, and a link has |A & B| >= percent / (100 + percent) * (|A| + |B|)
-    return _similar_sizes(n, m, percent) & ((100 + percent) * apart <= (100 - percent) * (n + m)) & (differ <= MOST_DIFFER)
+    return _similar_sizes(n, m, percent) & ((100 + percent) * apart <= (100 - percent) * (n + m))
 
 
 def _similar_sizes(a: Column, b: Column, percent: int) -> Column:
@@ -213,7 +208,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, n_words: int = 5, perc
     least = keyed.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("last")).filter("a != last").select("key", "a")
     shared = scratch.keep(keyed.join(least, "key"), "shared")
     scratch.drop("keyed")
-    described_ = classes.select("id", "n", *sketch)
+    described_ = classes.select("id", "n", *(f"p{c}" for c in range(PARITY)))
 
     def test(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs that may link, and are then confirmed or not."""

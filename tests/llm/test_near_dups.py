@@ -98,3 +98,10 @@ def test_keep_one(spark):
     got = near_dups.keep_one(spark, docs)
     assert got.columns == docs.columns
     assert sorted(repr(r["doc_id"]) for r in got.collect()) == ["1", "3", "None"]
+
+
+def test_signature_distance_drops_no_pair(spark):
+    """A pair of equal sizes and sketches may link however many symbols of its signatures differ."""
+    own = {"n": 100} | {f"p{c}": 0 for c in range(near_dups.PARITY)}
+    one, two = (spark.createDataFrame([own | {f"c{c}": c and value for c in range(near_dups.CHUNKS)}]) for value in (0, 0x0001000100010001))
+    assert one.alias("x").crossJoin(two.alias("y")).filter(near_dups._may_link("x", "y", 80)).count() == 1
