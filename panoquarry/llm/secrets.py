@@ -46,7 +46,8 @@ def _parts(kinds: tuple[str, ...]) -> Column:
 
 
 def _sweep(parts: Column, backward: bool) -> Column:
-    """parts, where d0, d1, d2 are at most the distance to the last part of that side on the way."""
+    """parts, where d0, d1, d2 are at most the distance to the nearest part of that side on the way: of
+    those before, the one that ends furthest, as a short part may lie within a long one."""
     last = [f"l{i}" for i in range(3)]
     none = F.lit(None).cast("long")
 
@@ -54,8 +55,8 @@ def _sweep(parts: Column, backward: bool) -> Column:
         near = [F.least(p[f"d{i}"], F.greatest((acc[last[i]] - p["end"]) if backward else (p["start"] - acc[last[i]]), F.lit(0).cast("long"))) for i in range(3)]
         # greatest() skips nulls: without a part of the side there is no distance
         near = [F.when(acc[last[i]].isNull(), p[f"d{i}"]).otherwise(near[i]) for i in range(3)]
-        now = p["start"] if backward else p["end"]
-        seen = [F.when(p["side"] == i, now).otherwise(acc[last[i]]).alias(last[i]) for i in range(3)]
+        # starts only fall on the way back; greatest() skips the null before the first part
+        seen = [F.when(p["side"] == i, p["start"] if backward else F.greatest(acc[last[i]], p["end"])).otherwise(acc[last[i]]).alias(last[i]) for i in range(3)]
         done = F.struct(p["start"].alias("start"), p["rank"].alias("rank"), p["end"].alias("end"), p["side"].alias("side"), *(near[i].alias(f"d{i}") for i in range(3)))
         return F.struct(*seen, F.concat(acc["out"], F.array(done)).cast(_PART).alias("out"))
 
