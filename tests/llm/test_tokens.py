@@ -98,6 +98,20 @@ def test_ledger(spark, tmp_path):
     assert books.totals().count() == 0
 
 
+def test_corpus_batches(spark, monkeypatch):
+    """The query commits deletes and revisions, each batch once, and comes to the inserts' totals."""
+    sent = []
+    commit = ledger.Ledger.commit
+    monkeypatch.setattr(ledger.Ledger, "commit", lambda self, number, delta: sent.append((number, commit(self, number, delta), delta.agg({"n_docs": "min"}).first()[0])) or sent[-1][1])
+    got = {(r["source"], r["lang"]): r["n_tokens"] for r in ledger.corpus_totals(spark, documents(spark, ODD)).collect()}
+    want = {}
+    for _, text, lang, source, _ in ODD:
+        want[source, lang] = want.get((source, lang), 0) + len(encode(text))
+    assert got == want
+    assert [x[:2] for x in sent] == [(n, first) for n in (1, 2, 3, 4) for first in (True, False)]
+    assert min(x[2] for x in sent if x[0] == 2) < 0 and min(x[2] for x in sent if x[0] == 3) < 0
+
+
 def test_corpus_totals(spark, sf_dir):
     got = {(r["source"], r["lang"]): (r["n_docs"], r["n_tokens"], r["n_chars"]) for r in ledger.corpus_totals(spark, spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()}
     want = {}
