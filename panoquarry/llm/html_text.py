@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panoquarry.llm.runtime import Scratch
+from panoquarry.llm.runtime import Scratch, released
 
 SALTS = 16
 #: Template text is on so many different pages, and in so many hundredths of those that have its container.
@@ -439,6 +439,7 @@ def _told(page: Page, children: list) -> list:
     return out
 
 
+@released
 def _read_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         trees = []
@@ -456,6 +457,7 @@ def _texts(children: list, path: str, out: set[tuple[str, str | None]]) -> None:
             out |= {(path, None), (path, node.partition(":")[0])}
 
 
+@released
 def _read_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """host, path, key: the different texts of each tree; key null: the paths."""
     for batch in batches:
@@ -488,6 +490,7 @@ def _general(children: list, constants: frozenset[str], path: str, sizes: Sizes)
     return out
 
 
+@released
 def _read_general(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         trees, paths, found = [], [], []
@@ -532,6 +535,7 @@ def infer_wrappers(spark: SparkSession, pages: DataFrame, scratch: Scratch | Non
     parts = parts.groupBy("host", "salt").applyInPandas(lambda rows: _fold(rows), "host string, tree string, pages long")
     folded = parts.groupBy("host").applyInPandas(lambda rows: _fold(rows), "host string, tree string, pages long")
 
+    @released
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.to_pylist()
@@ -560,6 +564,7 @@ def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "html")
     wrappers = scratch.keep(infer_wrappers(spark, pages, scratch).select("host", "tree", "sizes"), "wrappers")
 
+    @released
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [page_text(source.as_py() or "", sizes.as_py() or "{}", _matched(tree.as_py() or "[]")) for source, sizes, tree in zip(batch.column(2), batch.column(3), batch.column(4), strict=True)]

@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panoquarry.llm.arrays import U, byte_values
-from panoquarry.llm.runtime import Scratch
-from panoquarry.llm.tokens import texts_of
+from panoquarry.llm.runtime import Scratch, released
+from panoquarry.llm.tokens import parts as text_parts
 
 BLOCK = 192
 RATE = 8000
@@ -94,6 +94,10 @@ def _split(media: bytes) -> list[bytes]:
     return [media[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
+def _plain(text: pa.Scalar) -> str:
+    return text.as_py() or ""
+
+
 def _input(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
@@ -104,16 +108,17 @@ _MANIFEST = "doc_id long, n_bytes long, media_sha string, digests array<binary>"
 def manifests(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media_sha and the ordered digests of each document's file."""
 
+    @released
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, texts in texts_of(batch, 1):
-                n, sha, parts = [], [], []
-                for text in texts:
+            for first, texts in text_parts(batch.column(1)):
+                n, sha, found = [], [], []
+                for text in map(_plain, texts):
                     media = stored_form(payload(text))
                     n.append(len(text.encode()))
                     sha.append(hashlib.sha256(media).hexdigest())
-                    parts.append([digest(c) for c in _split(media)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(parts, pa.list_(pa.binary()))], ["doc_id", "n_bytes", "media_sha", "digests"])
+                    found.append([digest(c) for c in _split(media)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(found, pa.list_(pa.binary()))], ["doc_id", "n_bytes", "media_sha", "digests"])
 
     return _input(docs).mapInArrow(make, _MANIFEST)
 
@@ -126,13 +131,14 @@ def store(docs: DataFrame, exceptions: DataFrame) -> DataFrame:
     exceptions: doc_id, of: array of (media_sha, lack: places of chunks that others own; null: the
     file is kept by another document)."""
 
+    @released
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             rules = batch.column(2)
-            for first, texts in texts_of(batch, 1):
+            for first, texts in text_parts(batch.column(1)):
                 out: list[tuple] = []
-                for row, text in enumerate(texts, first):
+                for row, text in enumerate(map(_plain, texts), first):
                     media = stored_form(payload(text))
                     sha, lack = "", set()
                     if rules[row].is_valid:
@@ -162,6 +168,7 @@ def feature(data: bytes) -> str:
     return f"mean={x.mean():.6f};rms={np.sqrt((x * x).mean()):.6f};crossings={crossed};mode={common}"
 
 
+@released
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rebuild, verify, measure."""
     unpress = zstandard.ZstdDecompressor()

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from panoquarry.llm.arrays import U, Words, mix, order_by_group, slices
 from panoquarry.llm.components import components
-from panoquarry.llm.runtime import Scratch
+from panoquarry.llm.runtime import Scratch, released
 
 SYMBOLS = 32
 #: Bits of the parity sketch of a set, in words of 64.
@@ -103,6 +103,7 @@ def described(docs: DataFrame, n_words: int) -> DataFrame:
     sketch)."""
     names = [f"c{c}" for c in range(CHUNKS)] + [f"p{c}" for c in range(PARITY)]
 
+    @released
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
@@ -130,6 +131,7 @@ def _input(docs: DataFrame) -> DataFrame:
 def full_sets(docs: DataFrame, n_words: int) -> DataFrame:
     """id, n, hashes (sorted, 8 bytes each)."""
 
+    @released
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
@@ -173,6 +175,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, n_words: int, percent: int, sc
     texts = _input(docs).join(wanted, "doc_id", "left_semi")
     sets = scratch.keep(full_sets(texts, n_words).dropDuplicates(["id", "n", "hashes"]), f"{name}-sets")
 
+    @released
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []

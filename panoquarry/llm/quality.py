@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panoquarry.llm.arrays import Ranges, Words, order_by_group, per_document, slices, starts_ends
-from panoquarry.llm.runtime import Scratch
+from panoquarry.llm.runtime import Scratch, released
 
 SAMPLE = 20_000
 MAX_CONDITIONS = 3
@@ -81,6 +81,7 @@ def _counts(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
+@released
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     with np.errstate(over="ignore"):
         for batch in batches:
@@ -216,16 +217,17 @@ def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFr
     scratch = Scratch(spark, "quality")
     labelled = docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
     rules = fit(scratch.keep(measure(labelled), "labelled"), labels)
-    names = docs.columns
-    schema = docs.schema
-    flat = docs.select(F.col("text").cast("string").alias("_0"), *(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names, 1)))
+    names, schema = docs.columns, docs.schema
+    text = names.index("text")
+    flat = docs.select(*(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)))
 
+    @released
     def with_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
-                for first, last, data, at in slices(batch.column(0)):
+                for first, last, data, at in slices(batch.column(text)):
                     counts, part = _counts(data, at), batch.slice(first, last - first)
-                    yield pa.RecordBatch.from_arrays([*part.columns[1:], *(pa.array(counts[k], pa.int64()) for k in COUNTS)], [*part.schema.names[1:], *COUNTS])
+                    yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(counts[k], pa.int64()) for k in COUNTS)], [*part.schema.names, *COUNTS])
 
-    out = flat.mapInArrow(with_counts, ", ".join([f"_{i} {f.dataType.simpleString()}" for i, f in enumerate(schema, 1)] + [f"{k} long" for k in COUNTS]))
-    return out.filter(~base_failed() & (verdict(rules) == 0)).select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(names, 1)))
+    out = flat.mapInArrow(with_counts, ", ".join([f"_{i} {f.dataType.simpleString()}" for i, f in enumerate(schema)] + [f"{k} long" for k in COUNTS]))
+    return out.filter(~base_failed() & (verdict(rules) == 0)).select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(names)))

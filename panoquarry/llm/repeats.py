@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from panoquarry.llm.arrays import U, Ranges, buffers, mix, slices
 from panoquarry.llm.run_index import long_matches
-from panoquarry.llm.runtime import Scratch
+from panoquarry.llm.runtime import Scratch, released
 
 LENGTH = 200
 GRAM = 56
@@ -101,6 +101,7 @@ def _input(docs: DataFrame) -> DataFrame:
 def segments(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """doc_id, h (a hash of the text), key, seg, s, e (first and last window start), self."""
 
+    @released
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
@@ -119,6 +120,7 @@ def segments(docs: DataFrame, length: int, gram: int) -> DataFrame:
 def _pieces(docs: DataFrame, opened: DataFrame, length: int) -> DataFrame:
     """key, seg, piece: the bytes of the opened segments (doc_id, h, runs of s, e, key, seg)."""
 
+    @released
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
@@ -157,6 +159,7 @@ _RUNS = "key long, seg long, a int, b int"
 def _within_keys(pieces: DataFrame, length: int) -> DataFrame:
     """Runs (_RUNS) of windows that stand twice among the pieces of a key, by an index of each shard."""
 
+    @released
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             groups = batch.column(1)
@@ -182,6 +185,7 @@ def _within_keys(pieces: DataFrame, length: int) -> DataFrame:
 def _across(pieces: DataFrame, length: int) -> DataFrame:
     """The same for keys beyond KEY_BYTES: a row for each window, counted by Spark."""
 
+    @released
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
@@ -189,6 +193,7 @@ def _across(pieces: DataFrame, length: int) -> DataFrame:
                 own = pa.array(own)
                 yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), batch.column(0).take(own), batch.column(1).take(own), pa.array(place.astype(np.int32))], ["window", "key", "seg", "a"])
 
+    @released
     def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             places = batch.column(2)
@@ -205,6 +210,7 @@ def _across(pieces: DataFrame, length: int) -> DataFrame:
 def _cut(docs: DataFrame, marks: DataFrame, length: int) -> DataFrame:
     """The result, from marks: doc_id, h, runs (of window starts)."""
 
+    @released
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, removed, spans, kept = [], [], [], []

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import lru_cache, wraps
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch that goes to a Python worker: a few MB of text.
-ARROW_ROWS = 1000
+#: Rows and bytes, whichever comes first, of an Arrow batch that goes to a Python worker.
+ARROW_ROWS, ARROW_BYTES = 1000, 2 << 20
 #: Bytes up to which a table may be broadcast. Beyond it the join shuffles.
 BROADCAST_BYTES = 32 << 20
 
@@ -26,6 +30,33 @@ def shared_folder(spark: SparkSession) -> str:
 
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int]:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # another C library
+        return lambda _: 0
+
+
+def release() -> None:
+    """Give memory that is free back to the system. Workers are reused and idle ones stay, so what
+    they hold adds up on an executor."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+def released(read: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """read, a function over batches for mapInArrow, that releases memory after its last batch."""
+
+    @wraps(read)
+    def run(batches: Iterator) -> Iterator:
+        yield from read(batches)
+        release()
+
+    return run
 
 
 class Scratch:
