@@ -1,12 +1,12 @@
 """Best-fit packing by minimum bin slack.
 
 Only the histogram of piece lengths is planned on the driver: as many rows as a sequence has tokens,
-times SALTS, whatever the corpus. For each bin, the longest length that is left is fixed, and a
+whatever the corpus. Pieces that fill a sequence are one each and need no plan. For each bin, the longest length that is left is fixed, and a
 bitset subset-sum over the lengths that are left finds the fullest combination with it; that
 combination is applied as often as the histogram allows before the next is sought, so the number of
 searches follows the number of lengths, not of pieces. Each piece then gets a rank among those of
-its length (by salted windows, so that a hot length is spread) and the plan turns the rank into a
-sequence and an offset.
+its length (by salted windows, as many as the pieces need, so that a hot length is spread) and the plan
+turns the rank into a sequence and an offset.
 
 Cases: a null or empty text is one piece that holds only the end id; repeated rows are packed as
 often as they come; an empty table gives no rows; other input columns may have any name; pieces with
@@ -22,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panoquarry.llm.runtime import Scratch, partitions
+from panoquarry.llm.runtime import Scratch, partitions, released
 from panoquarry.llm.tokens import VOCABULARY, pieces
 
 CAPACITY = 1024
-MAX_SALTS = 256
+#: A length is dealt into so many windows that even if all pieces had it, each would get about so many.
+WINDOW_ROWS = 1_000_000
 
 
 def fullest(count: np.ndarray, room: int) -> dict[int, int]:
@@ -92,21 +93,25 @@ def slots(combinations: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarra
 def pack(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of each piece."""
     scratch = Scratch(spark, "packing")
-    salts = min(partitions(spark), MAX_SALTS)
-    cut = pieces(docs, capacity, vocabulary).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
-    cut = scratch.keep(cut, "pieces")
-    seen = np.zeros((capacity + 1, salts + 1), dtype=np.int64)
-    for r in cut.groupBy("length", "salt").count().collect():  # at most capacity * MAX_SALTS rows
-        seen[r["length"], r["salt"] + 1] = r["count"]
-    places = slots(plan(seen.sum(axis=1), capacity))
-    before = np.cumsum(seen, axis=1)
-    rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32", "start")) - 1
-    ranked = cut.withColumn("rank", rank.cast("long"))
-
+    cut = scratch.keep(pieces(docs, capacity, vocabulary), "pieces")
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    full = cut.filter(F.col("length") == capacity)
+    salts = max(partitions(spark), cut.count() // WINDOW_ROWS + 1)
+    rest = cut.filter(F.col("length") < capacity).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    counts = scratch.keep(rest.groupBy("length", "salt").count(), "counts")
+    histogram = np.zeros(capacity + 1, dtype=np.int64)
+    for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect():  # at most capacity rows
+        histogram[r["length"]] = r["n"]
+    places = slots(plan(histogram, capacity))
+    earlier = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("length", "salt", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before"))
+    number = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32", "start")) - 1
+    ranked = rest.withColumn("number", number).join(before, ["length", "salt"]).select(*names, (F.col("number") + F.col("before")).cast("long").alias("rank"))
+
+    @released
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            length, salt, ranks = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("length", "salt", "rank"))
-            ranks = ranks + before[length, salt]
+            length, ranks = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("length", "rank"))
             sequence, offset = np.zeros(len(length), dtype=np.int64), np.zeros(len(length), dtype=np.int64)
             for x in np.unique(length):
                 own = np.flatnonzero(length == x)
@@ -115,7 +120,9 @@ def pack(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, vocabul
                 beyond = ranks[own] - at[:, 0]
                 sequence[own] = at[:, 1] + beyond // at[:, 2]
                 offset[own] = at[:, 3] + beyond % at[:, 2] * x
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    packed = ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    # each of a sequence of its own, numbered below zero
+    alone = full.select(*names, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return packed.unionByName(alone)
