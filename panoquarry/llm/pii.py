@@ -21,6 +21,8 @@ from panoquarry.llm.spans import Kind, joined, with_spans
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "card_short", "national")
 KEEP_SCORE = 0.6
+#: Code points before a span, and half as many after, whose words adjust its score.
+CONTEXT_POINTS = 40
 #: The score of a confirmed proposal, and the words that raise it by CONTEXT_BONUS.
 PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "card_short": 0.4, "national": 0.4}
 CONTEXT_BONUS = 0.3
@@ -57,9 +59,11 @@ def _mod97(hit: Column) -> Column:
 
 
 #: Every expression gives the matches of the plain one: a lookbehind starts only where a run starts,
-#: (or \\G, where the last match ended), and possessive repeats cannot change what follows them.
+#: (or \\G, where the last match ended), possessive repeats cannot change what follows them, and the
+#: domain of an e-mail is a repeat of single characters, which ends before two dots or a last one: a
+#: repeated group would take a frame of the stack for each label.
 KINDS = [
-    Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", needs="@"),
+    Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@(?=[A-Za-z0-9-]++\.[A-Za-z0-9-])[A-Za-z0-9.-]*?(?<=[A-Za-z0-9-])(?=\.\.|\.?[^A-Za-z0-9.-]|\.?\z)", needs="@"),
     Kind("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", lambda h: h.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"), needs="."),
     Kind("card", r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}+(?![\x20-]?[0-9])", _luhn),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda h: F.length(_digits(h)).between(8, 15), needs="+"),
@@ -83,7 +87,7 @@ def _scored(kind: str) -> Column:
 def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, text, and ``spans``: array of (kind, start, end, score), by kind as listed, then start."""
     df = docs.select(F.col("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    df = with_spans(df, "text", KINDS)
+    df = with_spans(df, "text", KINDS, CONTEXT_POINTS)
     df = df.withColumns({f"_s_{k}": _scored(k) for k in (*BASE, *ADDED)})
     return df.select("doc_id", "text", F.concat(*(F.col(f"_s_{k}") for k in (*BASE, *ADDED))).alias("spans"))
 

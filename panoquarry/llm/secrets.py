@@ -2,10 +2,11 @@
 
 Base kinds (assign, access, hex) follow fixed expressions. Parts too weak to report alone are
 proposed as well: short access identifiers, unlabelled high-entropy tokens, and endpoints. They
-are joined by interval: sorted by place, one sweep forward and one back give each part the nearest
-part of either complementary kind, and a part is reported only if such a part lies within ``SCOPE``
-code points in the same document. The sweep is linear, so a document full of parts costs no more
-than its length. All of it is column expressions: no Python on the executors and no shuffle.
+are joined by interval: sorted by place, running maxima of the ends before and running minima of the
+starts behind give each part the nearest part of either complementary kind, and a part is reported
+only if such a part lies within ``SCOPE`` code points in the same document. Running values are taken by
+doubling (spans.scan), so n parts cost n log n. All of it is column expressions: no Python on the
+executors and no shuffle.
 
 Cases: a null text counts as empty; empty texts give zero counts and empty strings; repeated rows
 give repeated results; an empty table gives no rows; other input columns may have any name.
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panoquarry.llm.spans import Kind, joined, with_spans
+from panoquarry.llm.spans import Kind, cut, joined, scan, widened, with_spans
 
 BASE = ("assign", "access", "hex")
 WEAK = ("weak_id", "weak_secret", "endpoint")
@@ -32,36 +33,28 @@ KINDS = [
 ]
 #: The sides of the join: what counts as an identifier, a secret and an endpoint.
 SIDE = {"access": 0, "weak_id": 0, "assign": 1, "hex": 1, "weak_secret": 1, "endpoint": 2}
-_PART = "array<struct<start:bigint,rank:int,end:bigint,side:int,d0:bigint,d1:bigint,d2:bigint>>"
+_PART = "array<struct<start:bigint,rank:int,end:bigint,side:int>>"
+#: Further than any place of a text.
+_FAR = 1 << 40
 
 
 def _parts(kinds: tuple[str, ...]) -> Column:
-    """All spans of the kinds as (start, rank of the kind, end, side, distances), in order."""
-    far = F.lit(None).cast("long")
-    one = lambda k, i: F.transform(
-        F.col(f"_{k}"),
-        lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("rank"), s["end"].alias("end"), F.lit(SIDE[k]).alias("side"), far.alias("d0"), far.alias("d1"), far.alias("d2")),
-    )
+    """All spans of the kinds as (start, rank of the kind, end, side), in order."""
+    one = lambda k, i: F.transform(F.col(f"_{k}"), lambda s: F.struct(s["start"].alias("start"), F.lit(i).alias("rank"), s["end"].alias("end"), F.lit(SIDE[k]).alias("side")))
     return F.array_sort(F.concat(*(one(k, i) for i, k in enumerate(kinds))).cast(_PART))
 
 
-def _sweep(parts: Column, backward: bool) -> Column:
-    """parts, where d0, d1, d2 are at most the distance to the nearest part of that side on the way: of
-    those before, the one that ends furthest, as a short part may lie within a long one."""
-    last = [f"l{i}" for i in range(3)]
-    none = F.lit(None).cast("long")
+def _reach(side: int) -> Column:
+    """For each part, where the part of the side ends that ends furthest up to there: a short part may lie
+    within a long one."""
+    ends = F.transform("_parts", lambda p: F.when(p["side"] == side, p["end"]).otherwise(F.lit(-_FAR)))
+    return scan(ends, F.greatest)
 
-    def step(acc: Column, p: Column) -> Column:
-        near = [F.least(p[f"d{i}"], F.greatest((acc[last[i]] - p["end"]) if backward else (p["start"] - acc[last[i]]), F.lit(0).cast("long"))) for i in range(3)]
-        # greatest() skips nulls: without a part of the side there is no distance
-        near = [F.when(acc[last[i]].isNull(), p[f"d{i}"]).otherwise(near[i]) for i in range(3)]
-        # starts only fall on the way back; greatest() skips the null before the first part
-        seen = [F.when(p["side"] == i, p["start"] if backward else F.greatest(acc[last[i]], p["end"])).otherwise(acc[last[i]]).alias(last[i]) for i in range(3)]
-        done = F.struct(p["start"].alias("start"), p["rank"].alias("rank"), p["end"].alias("end"), p["side"].alias("side"), *(near[i].alias(f"d{i}") for i in range(3)))
-        return F.struct(*seen, F.concat(acc["out"], F.array(done)).cast(_PART).alias("out"))
 
-    start = F.struct(*(none.alias(x) for x in last), F.array().cast(_PART).alias("out"))
-    return F.aggregate(F.reverse(parts) if backward else parts, start, step, lambda acc: acc["out"])
+def _ahead(side: int) -> Column:
+    """For each part, where the first part of the side starts from there on."""
+    starts = F.transform(F.reverse("_parts"), lambda p: F.when(p["side"] == side, p["start"]).otherwise(F.lit(_FAR)))
+    return F.reverse(scan(starts, F.least))
 
 
 def find_secrets(docs: DataFrame, text: str = "text", scope: int = SCOPE) -> DataFrame:
@@ -73,14 +66,18 @@ def find_secrets(docs: DataFrame, text: str = "text", scope: int = SCOPE) -> Dat
     df = with_spans(df, "_text", KINDS)
     df = df.withColumn("_parts", _parts(kinds)).drop(*(f"_{k}" for k in kinds))
     # without a weak part there is nothing to link
-    df = df.withColumn("_there", F.when(F.exists("_parts", lambda p: p["rank"] >= len(BASE)), _sweep(F.col("_parts"), False)))
-    df = df.withColumn("_back", F.when(F.col("_there").isNotNull(), _sweep(F.col("_there"), True)))
-    in_scope = lambda p, i: F.coalesce(p[f"d{i}"] <= scope, F.lit(False))
-    linked = lambda p: F.when(p["side"] == 0, in_scope(p, 1)).when(p["side"] == 1, in_scope(p, 0) | in_scope(p, 2)).otherwise(in_scope(p, 0) & in_scope(p, 1))
-    stays = F.filter(F.coalesce(F.reverse("_back"), F.col("_parts")), lambda p: (p["rank"] < len(BASE)) | linked(p))
+    weak = F.exists("_parts", lambda p: p["rank"] >= len(BASE))
+    df = df.withColumns({f"_{n}{i}": F.when(weak, f(i)) for i in range(3) for n, f in (("reach", _reach), ("ahead", _ahead))})
+
+    def linked(p: Column, i: Column) -> Column:
+        # before the first part and behind the last one there is none
+        near = [F.coalesce(p["start"] - F.get(f"_reach{k}", i - 1) <= scope, F.lit(False)) | F.coalesce(F.get(f"_ahead{k}", i + 1) - p["end"] <= scope, F.lit(False)) for k in range(3)]
+        return F.when(p["side"] == 0, near[1]).when(p["side"] == 1, near[0] | near[2]).otherwise(near[0] & near[1])
+
+    stays = F.when(F.col("_reach0").isNull(), F.col("_parts")).otherwise(F.filter("_parts", lambda p, i: (p["rank"] < len(BASE)) | linked(p, i)))
     name = F.array(*map(F.lit, kinds))
     spans = F.transform(stays, lambda p: F.struct(F.element_at(name, p["rank"] + 1).alias("kind"), p["start"].alias("start"), p["end"].alias("end")))
-    return df.withColumn("_spans", spans).drop("_parts", "_there", "_back")
+    return df.withColumn("_spans", spans).drop("_parts", *(f"_{n}{i}" for i in range(3) for n in ("reach", "ahead")))
 
 
 def secrets_digest(docs: DataFrame) -> DataFrame:
@@ -102,16 +99,18 @@ def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]") -> DataF
     col = lambda c: F.col(f"`{c}`")
     row = docs.select(F.struct(*map(col, docs.columns)).alias("row"), col(text).alias("text"))
     df = find_secrets(row)
+    dirty = F.size("_spans") > 0
+    # how far spans reach up to each; one that starts beyond what is before it begins a mask
+    df = df.withColumn("_reach", F.when(dirty, scan(F.transform("_spans", lambda s: s["end"]), F.greatest)))
+    before = lambda i: F.coalesce(F.get("_reach", i - 1), F.lit(0).cast("long"))
+    places = F.filter(F.sequence(F.lit(0), F.size("_spans") - 1), lambda i: (i == 0) | (F.col("_spans")[i]["start"] >= before(i)))
+    df = df.withColumn("_first", F.when(dirty, places))
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        piece = F.when(fresh, F.concat(F.substr("_text", (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mask))).otherwise("")
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.array(piece)).alias("out"))
+    def masked(w: Column) -> Column:
+        pieces = F.transform("_first", lambda i: F.concat(cut(w, before(i), F.col("_spans")[i]["start"]), F.lit(mask)))
+        return F.concat(F.array_join(pieces, ""), cut(w, F.element_at("_reach", -1), F.length("_text").cast("long")))
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-    clean = F.aggregate("_spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr("_text", (acc["at"] + 1).cast("int"))))
-    dirty = F.size("_spans") > 0
-    df = df.withColumn("_clean", F.when(dirty, clean).otherwise(F.col("text")))
+    df = df.withColumn("_clean", F.when(dirty, widened(F.col("_text"), masked)).otherwise(F.col("text")))
     swap = {text: F.col("_clean")}
     if "n_chars" in docs.columns:
         swap["n_chars"] = F.when(dirty, F.length("_clean").cast("long")).otherwise(F.col("row").getField("n_chars"))

@@ -2,7 +2,10 @@
 
 Spark has no function for the place of each match. ``regexp_extract_all`` gives the matches and
 ``split`` by the same pattern gives what lies between them, so running sums of lengths give the
-places. Both run in the JVM; the second only on texts that have a match.
+places. Running sums are taken by doubling: round k adds what stands 2**k before, so n numbers take
+log2(n) rounds and nothing grows one by one. Contexts are cut from a form of the text with four bytes
+for each code point, where any place is found at once. All run in the JVM; all but the first only on
+texts that have a match.
 """
 
 from __future__ import annotations
@@ -13,9 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: No kind has a match of fewer code points; so many at most are in a context.
-SHORTEST = 4
-SPAN = "array<struct<start:bigint,end:bigint,hit:string,near:string>>"
+SPAN = "array<struct<start:bigint,end:bigint,near:string>>"
 
 
 @dataclass(frozen=True)
@@ -29,36 +30,54 @@ class Kind:
     needs: str | None = None
 
 
-def _none() -> Column:
-    return F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("tail"), F.array().cast(SPAN).alias("out"))
+def scan(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """For each of an array's values, what join makes of it and all before it. join must not depend on
+    how values are grouped."""
+    rounds = F.when(F.size(values) > 1, F.sequence(F.lit(0), (F.ceil(F.log2(F.size(values))) - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
 
+    def double(acc: Column, k: Column) -> Column:
+        apart = F.call_function("shiftleft", F.lit(1), k)
+        return F.transform(acc, lambda v, i: F.when(i >= apart, join(F.get(acc, i - apart), v)).otherwise(v))
 
-def _grow(hits: Column, gaps: Column, kind: Kind, context: int) -> Callable[[Column, Column], Column]:
-    """The step of a running sum: at: where the last match ended, tail: the context's code points up to there, out: the spans that stay."""
+    return F.aggregate(rounds, values, double)
 
-    def step(acc: Column, i: Column) -> Column:
-        hit, before = hits[i], gaps[i]
-        after = [gaps[i + 1]]
-        for k in range(1, -(-(context // 2) // SHORTEST) + 1):
-            after += [F.get(hits, i + k), F.get(gaps, i + k + 1)]
-        start = acc["at"] + F.length(before)
-        end = start + F.length(hit)
-        # the window may hold other matches; parts are joined, as cutting the text itself walks it from its start
-        left = F.right(F.concat(acc["tail"], F.right(before, F.lit(context))), F.lit(context))
-        near = F.lower(F.concat(left, F.lit(" "), F.left(F.concat(*(F.left(F.coalesce(x, F.lit("")), F.lit(context // 2)) for x in after)), F.lit(context // 2))))
-        tail = F.right(F.concat(left, F.right(hit, F.lit(context))), F.lit(context))
-        span = F.array(F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), hit.alias("hit"), near.alias("near")))
-        grown = F.concat(acc["out"], span)
-        out = grown if kind.valid is None else F.when(kind.valid(hit), grown).otherwise(acc["out"])
-        return F.struct(end.cast("long").alias("at"), tail.alias("tail"), out.cast(SPAN).alias("out"))
 
-    return step
+def widened(text: Column, use: Callable[[Column], Column]) -> Column:
+    """What use makes of the text with four bytes for each code point. It is bound to a variable, as each
+    read of a binary column would copy it."""
+    return F.element_at(F.transform(F.array(F.encode(text, "UTF-32")), use), 1)
 
 
-def with_spans(df: DataFrame, text: str, kinds: list[Kind], context: int = 40) -> DataFrame:
+def cut(wide_: Column, start: Column, end: Column) -> Column:
+    """The code points from start to end of a wide text."""
+    return F.decode(F.substr(wide_, (4 * start + 1).cast("int"), (4 * F.greatest(end - start, F.lit(0))).cast("int")), "UTF-32")
+
+
+def _ends(hits: Column, gaps: Column) -> Column:
+    """Where each match ends: matches, and what is before each, run through the text."""
+    return scan(F.transform(hits, lambda x, i: (F.length(x) + F.length(gaps[i])).cast("long")), lambda a, b: a + b)
+
+
+def _valid_spans(text: Column, hits: Column, ends: Column, kind: Kind, context: int) -> Column:
+    places = F.sequence(F.lit(0), F.size(hits) - 1)
+    if kind.valid is not None:
+        places = F.filter(places, lambda i: kind.valid(hits[i]))
+
+    def span(i: Column, near: Callable[[Column, Column], Column]) -> Column:
+        start, end = ends[i] - F.length(hits[i]), ends[i]
+        return F.struct(start.alias("start"), end.alias("end"), near(start, end).alias("near"))
+
+    if not context:
+        return F.transform(places, lambda i: span(i, lambda start, end: F.lit("")))
+    around = lambda w: lambda start, end: F.lower(F.concat(cut(w, F.greatest(start - context, F.lit(0)), start), F.lit(" "), cut(w, end, end + context // 2)))
+    some = F.when(F.size(places) > 0, widened(text, lambda w: F.transform(places, lambda i: span(i, around(w)))))
+    return F.coalesce(some.cast(SPAN), F.array().cast(SPAN))
+
+
+def with_spans(df: DataFrame, text: str, kinds: list[Kind], context: int = 0) -> DataFrame:
     """df with a column ``_<name>`` of SPAN for each kind, by start. near: the lower-case text up to
-    ``context`` code points before and half as many after, other matches among them."""
-    hits, gaps, out = {}, {}, {}
+    ``context`` code points before and half as many after, other matches among them; empty without."""
+    hits, gaps, ends, out = {}, {}, {}, {}
     for k in kinds:
         all_hits = F.regexp_extract_all(F.col(text), F.lit(k.pattern), F.lit(0))
         if k.needs:
@@ -69,10 +88,12 @@ def with_spans(df: DataFrame, text: str, kinds: list[Kind], context: int = 40) -
         gaps[f"_g_{k.name}"] = F.when(F.size(f"_h_{k.name}") > 0, F.split(F.col(text), k.pattern, -1))
     df = df.withColumns(gaps)
     for k in kinds:
-        h, g = F.col(f"_h_{k.name}"), F.col(f"_g_{k.name}")
-        found = F.aggregate(F.sequence(F.lit(0), F.size(h) - 1), _none(), _grow(h, g, k, context), lambda acc: acc["out"])
-        out[f"_{k.name}"] = F.when(F.size(h) > 0, found).otherwise(F.array().cast(SPAN))
-    return df.withColumns(out).drop(*hits, *gaps)
+        ends[f"_e_{k.name}"] = F.when(F.size(f"_h_{k.name}") > 0, _ends(F.col(f"_h_{k.name}"), F.col(f"_g_{k.name}")))
+    df = df.withColumns(ends)
+    for k in kinds:
+        h = F.col(f"_h_{k.name}")
+        out[f"_{k.name}"] = F.when(F.size(h) > 0, _valid_spans(F.col(text), h, F.col(f"_e_{k.name}"), k, context)).otherwise(F.array().cast(SPAN)).cast(SPAN)
+    return df.withColumns(out).drop(*hits, *gaps, *ends)
 
 
 def joined(parts: Column) -> Column:
