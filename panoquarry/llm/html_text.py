@@ -7,7 +7,7 @@ of them has becomes an optional group ``(x)?``. A text can be a constant if it i
 host's different pages that have its container; all others mismatch and are slots at once. The
 alignment of two wrappers is a wrapper again and adds up how many pages have each constant and each
 container, so a host's pages are folded in any order and in parts: different trees of a host are
-counted first, folded within salts, and the parts folded once more. No task sees all pages of a host.
+counted first, then folded FOLD at a time until one is left. No task sees all pages of a host.
 
 A constant that OFTEN of the pages have at its place in the wrapper is template text. A page is matched
 to the wrapper, and its texts at such places are dropped; the same words at another place stay.
@@ -30,6 +30,7 @@ import html as entities
 import json
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -40,7 +41,11 @@ from pyspark.sql import functions as F
 
 from panoquarry.llm.runtime import Scratch, released
 
-SALTS = 16
+#: Trees of a host that one task folds at a time.
+FOLD = 64
+#: Containers in each other that a path tells apart, and elements that are open at once. What is nested
+#: deeper belongs to the last one; its text stays, as in browsers, which have such bounds as well.
+DEPTH, OPEN = 200, 2000
 #: Template text is on so many different pages, and in so many hundredths of those that have its container.
 LEAST_PAGES, OFTEN = 3, 90
 #: Longer alignments take the nearest match in place of the longest run.
@@ -69,20 +74,24 @@ _WORDS = frozenset(
     " recommended recommendations newsletter subscribe subscription signup login search pagination pager widget widgets toolbar disclaimer copyright masthead topbar skip".split()
 )
 #: Words that with those above make a name of page furniture, such as share-buttons; words
-#: that alone may as well name a part of a text; elements that are text or its headings.
+#: that alone may as well name a part of a text; words of names that tell how a page is laid out; elements
+#: that are text or its headings.
 _HELPERS = frozenset("bar bars block blocks box boxes btn btns button buttons container content form icon icons inner item items link links list main outer page panel post posts section site wrap wrapper area top bottom left right".split())
 _TOPICS = frozenset("side discussion reply replies respond social related search copyright disclaimer notice notices alert alerts promotion recommended recommendations comment share sharing skip overlay consent".split())
+_LAYOUT = frozenset("with has without no layout".split())
 _PROSE = frozenset("h1 h2 h3 h4 h5 h6 p section li dd dt td th blockquote pre figure figcaption table caption tr ul ol dl".split())
 _SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 
 
 def _furniture(tag: str, name: str, value: str, in_article: bool) -> bool:
-    """Whether a class or id tells page furniture. Any word does in containers outside articles; in text,
-    and within articles, a whole class or id must, or be made of such words and helpers only. A part of a
-    text may have a topic of one word as its id; the ids of headings and paragraphs never tell."""
+    """Whether a class or id tells page furniture. In containers outside articles a word does, a topic only
+    if the name has nothing but such words and helpers; names of a layout (with-sidebar) never do. In text,
+    within articles and for articles themselves, a whole class or id must be made of such words and helpers
+    only. A part of a text may have a topic of one word as its id; the ids of headings and paragraphs never
+    tell."""
     parts = [{w.lower() for w in _SPLIT.split(x) if w} for x in value.split()]
-    if not in_article and tag not in _PROSE:
-        return any(x & _WORDS for x in parts)
+    if not in_article and tag not in _PROSE and tag not in ("article", "main"):
+        return any(x & (_WORDS - _TOPICS) or x & _TOPICS and x <= _WORDS | _HELPERS for x in parts if not x & _LAYOUT)
     if name == "id" and tag in _PROSE and tag != "section":
         return False
     parts = [x for x in parts if x & _WORDS and x <= _WORDS | _HELPERS]
@@ -125,8 +134,11 @@ class Page:
         self.root: list = ["", []]
         self.keys: list[str] = []
         self._tree, self._keyed = tree or keyed, keyed
-        # of each open element: tag, path, unwanted, node, within an article
-        self._open: list[tuple[str, str, bool, list, bool]] = [("", "", False, self.root, False)]
+        # of each open element: tag, path, unwanted, node, within an article, how many containers it is in
+        self._open: list[tuple[str, str, bool, list, bool, int]] = [("", "", False, self.root, False, 0)]
+        # by tag, how many were not opened because of OPEN
+        self._passed: Counter[str] = Counter()
+        self._count: Counter[str] = Counter()
         self._text: list[str] = []
         self._linked, self._links = 0, 0
         at = 0
@@ -152,7 +164,7 @@ class Page:
         if self._text:
             text = " ".join("".join(self._text).split())
             if text:
-                _, path, unwanted, node, _ = self._open[-1]
+                _, path, unwanted, node, *_ = self._open[-1]
                 self.blocks.append((path, text, min(self._linked, len(text)), unwanted))
                 if self._keyed:
                     tag = next((e[0] for e in reversed(self._open) if e[0] in _BLOCK), "")
@@ -168,6 +180,7 @@ class Page:
             self._flush()
         for e in self._open[n:]:
             self._links -= e[0] == "a"
+            self._count[e[0]] -= 1
         del self._open[n:]
 
     def _start(self, tag: str, attributes: str) -> None:
@@ -179,7 +192,8 @@ class Page:
             return
         if tag in _BLOCK or tag in _ENDS:
             ends = _ENDS.get(tag, ())
-            for i in range(len(self._open) - 1, 0, -1):
+            some = tag in _BLOCK and self._count["p"] or any(self._count[x] for x in ends)
+            for i in range(len(self._open) - 1 if some else 0, 0, -1):
                 name = self._open[i][0]
                 if name in ends or name == "p" and tag in _BLOCK:
                     self._pop(i)
@@ -188,21 +202,29 @@ class Page:
                     break
             if tag in _BLOCK:
                 self._flush()
-        _, path, unwanted, node, in_article = self._open[-1]
+        if len(self._open) > OPEN:
+            self._passed[tag] += 1
+            return
+        _, path, unwanted, node, in_article, depth = self._open[-1]
         more, label = _unwanted(tag, attributes, in_article)
         if tag == "a":
             self._links += 1
-        if tag in _CONTAINER:
+        if tag in _CONTAINER and depth < DEPTH:
+            depth += 1
             path = f"{path}/{label}"
             if self._tree:
                 child: list = [label, []]
                 node[1].append(child)
                 node = child
-        self._open.append((tag, path, unwanted or more, node, in_article or tag in ("article", "main")))
+        self._count[tag] += 1
+        self._open.append((tag, path, unwanted or more, node, in_article or tag in ("article", "main"), depth))
 
     def _close(self, tag: str) -> None:
-        if tag == "p" and not any(e[0] == "p" for e in self._open):
-            return self._flush()
+        if self._passed[tag]:
+            self._passed[tag] -= 1
+            return self._flush() if tag in _BLOCK else None
+        if not self._count[tag]:
+            return self._flush() if tag == "p" else None
         for i in range(len(self._open) - 1, 0, -1):
             name = self._open[i][0]
             if name == tag:
@@ -517,6 +539,23 @@ def _input(pages: DataFrame) -> DataFrame:
     return pages.select(F.coalesce(host, F.lit("")).alias("host"), F.col("html").cast("string").alias("html"), "page_id", "url")
 
 
+def _folded(trees: DataFrame, scratch: Scratch) -> DataFrame:
+    """host, tree (one for each), from host, tree, pages. Each round folds about FOLD trees of a host in a
+    task, so rounds follow the logarithm of a host's different trees."""
+    left = scratch.keep(trees, "fold-0")
+    step = 0
+    while True:
+        counts = left.groupBy("host").agg(F.count("*").alias("n"))
+        # the first round also weighs trees by their pages
+        if step and (counts.agg(F.max("n")).first()[0] or 0) <= 1:
+            return left.select("host", "tree")
+        step += 1
+        parts = F.ceil(F.col("n") / FOLD)
+        met = left.alias("l").join(counts.alias("c"), F.col("l.host") == F.col("c.host"))
+        dealt = met.select("l.host", "tree", "pages", F.pmod(F.xxhash64("tree", F.lit(step)), parts).alias("part"))
+        left = scratch.keep(dealt.groupBy("host", "part").applyInPandas(lambda rows: _fold(rows), "host string, tree string, pages long"), f"fold-{step}")
+
+
 def infer_wrappers(spark: SparkSession, pages: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """host, tree (the wrapper as JSON), wrapper (as an expression), main (paths of the slots of the
     main text, if a page has all), sizes (as JSON)."""
@@ -531,9 +570,7 @@ def infer_wrappers(spark: SparkSession, pages: DataFrame, scratch: Scratch | Non
     read = scratch.keep(met.mapInArrow(_read_general, "host string, tree string, paths array<string>, mass array<bigint>, chars array<bigint>"), "trees")
     mass = read.select("host", F.explode(F.arrays_zip("paths", "mass", "chars")).alias("p")).groupBy("host", F.col("p.paths").alias("path")).agg(F.sum("p.mass").alias("mass"), F.sum("p.chars").alias("chars"))
     mass = mass.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("path", "mass", "chars"))).alias("sizes"))
-    parts = read.groupBy("host", "tree").agg(F.count("*").alias("pages")).withColumn("salt", F.pmod(F.xxhash64("tree"), F.lit(SALTS)))
-    parts = parts.groupBy("host", "salt").applyInPandas(lambda rows: _fold(rows), "host string, tree string, pages long")
-    folded = parts.groupBy("host").applyInPandas(lambda rows: _fold(rows), "host string, tree string, pages long")
+    folded = _folded(read.groupBy("host", "tree").agg(F.count("*").alias("pages")), scratch)
 
     @released
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -102,3 +102,34 @@ def test_text_beside_the_heaviest_container(spark):
     assert got[12] == "note12" + " s12" * 30
     for i in range(13, 17):
         assert got[i] == f"text{i} of it ref{i}"
+
+
+@pytest.mark.parametrize("tag", ["div", "blockquote", "section", "b", "ul><li", "article"])
+def test_very_deep_pages(spark, tag):
+    """What is nested deeper than any bound keeps its text, and what follows is read as usual."""
+    nested = f"<{tag}>" * 30_000 + "<p>deep text</p>" + "".join(f"</{x}>" for x in tag.split("><")[::-1]) * 30_000
+    rows = [(i, "http://d.example/x", f"<main><p>before {i}</p>{nested}<p>after</p></main><nav>menu</nav>") for i in range(2)]
+    want = "deep text" if tag == "article" else "before {0} deep text after"
+    assert run(spark, rows) == {i: want.format(i) for i in range(2)}
+
+
+def test_many_layouts_of_one_host(spark):
+    """More different trees than one task folds; template text is told over all of them."""
+    page = "<div class=top>Read with us</div><article>{0}</article>"
+    body = lambda i: "".join(f"<{('div', 'section', 'ul')[i // 3**k % 3]}>w{i}-{k}</{('div', 'section', 'ul')[i // 3**k % 3]}>" for k in range(6))
+    n = html_text.FOLD * 4 + 1
+    got = run(spark, [(i, "http://m.example/x", page.format(body(i))) for i in range(n)])
+    assert got == {i: " ".join(f"w{i}-{k}" for k in range(6)) for i in range(n)}
+
+
+@pytest.mark.parametrize("source", ["<div class='layout with-sidebar'><article><p>a</p></article></div>", "<article class='post social-science'><p>a</p></article>", "<body class='has-sidebar'><main class='search-theory'><p>a</p></main></body>"])
+def test_class_words_around_an_article(source):
+    assert html_text.page_text(source + "<div class=sidebar>s</div>") == "a"
+
+
+def test_alignment_decides_text(spark, monkeypatch):
+    """Without alignment the words that all pages of a host share stay in."""
+    rows = [(i, "http://t.example/x", f"<article><p>word{i}</p><div>Read with us</div></article>") for i in range(6)]
+    assert set(run(spark, rows).values()) == {f"word{i}" for i in range(6)}
+    monkeypatch.setattr(html_text, "OFTEN", 101)
+    assert set(run(spark, rows).values()) == {f"word{i} Read with us" for i in range(6)}
