@@ -14,14 +14,15 @@ by one:
    and windows that match elsewhere for LENGTH bytes are marked. Equal windows have equal keys, so
    no match lies between shards, and no index is larger than a shard.
 4. A key whose kinds exceed KEY_BYTES has no bounded index: its windows are dealt out, hashed and
-   counted by Spark instead.
+   counted by Spark instead, by (key, hash), and those that repeat are joined back to their places; a
+   window that very many kinds have is split by the join.
 
 Keys, segments and windows are counted by partial aggregates, so a passage in a third of all
 documents is one key like any other. A segment where the least hash stands at two places (as in
 periodic text) may repeat within itself and is always opened. All counts cover all rows.
 
-Keys, whole segments and the windows of step 4 are told apart by hashes of 64 bits; the index
-compares bytes.
+Whole segments and the windows of step 4 are told apart by their key and a hash of their own, 64 bits
+each; the index compares bytes.
 
 Cases: a null text counts as empty; texts under LENGTH bytes have no window and lose nothing, but
 count; repeated rows repeat each other as any two rows do; a null doc_id is a row like any other; an
@@ -182,7 +183,7 @@ def _within_keys(pieces: DataFrame, length: int) -> DataFrame:
     return grouped.mapInArrow(find, _RUNS)
 
 
-def _across(pieces: DataFrame, length: int) -> DataFrame:
+def _across(pieces: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     """The same for keys beyond KEY_BYTES: a row for each window, counted by Spark."""
 
     @released
@@ -202,8 +203,10 @@ def _across(pieces: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(piece)), batch.column(1).take(pa.array(piece)), pa.array(a), pa.array(b)], ["key", "seg", "a", "b"])
 
     windows = pieces.mapInArrow(find, "window long, key long, seg long, a int")
-    again = windows.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1").select("window")
-    places = windows.join(again, "window").groupBy("key", "seg").agg(F.array_sort(F.collect_list("a")).alias("places"))
+    again = windows.groupBy("key", "window").agg(F.count("*").alias("n")).filter("n > 1").select("key", "window")
+    # a table of its own, so that the join may split a window that is in very many rows
+    again = scratch.sized(scratch.keep(again, "again"), "again")
+    places = windows.join(again, ["key", "window"]).groupBy("key", "seg").agg(F.array_sort(F.collect_list("a")).alias("places"))
     return places.mapInArrow(join_up, _RUNS)
 
 
@@ -253,7 +256,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, g
     pieces = scratch.keep(_pieces(docs, opened, length), "pieces")
     large = kinds.filter("mixed").groupBy("key").agg(F.sum(F.col("one.e") - F.col("one.s") + length).alias("n")).filter(F.col("n") > KEY_BYTES).select("key")
     large = scratch.sized(scratch.keep(large, "large"), "large")
-    parts = _within_keys(pieces.join(large, "key", "left_anti"), length).unionByName(_across(pieces.join(large, "key", "left_semi"), length))
+    parts = _within_keys(pieces.join(large, "key", "left_anti"), length).unionByName(_across(pieces.join(large, "key", "left_semi"), length, scratch))
     # a row for each kind of segment, so that a hit meets one; a whole one needs no parts
     both = whole.withColumn("whole", F.lit(True)).unionByName(parts.withColumn("whole", F.lit(False)))
     span = F.struct("a", "b")
