@@ -13,7 +13,8 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
     Each round every id takes the smallest label around it, and then its label's label; rounds end
     when no label changes, after about the logarithm of the longest path. Labels are pre-aggregated
-    before the shuffle, so an id with very many edges is no hot task.
+    before the shuffle, so an id with very many edges is no hot task; a label that very many ids have
+    is one row on one side of its join, whose other side Spark splits.
     """
     both = edges.filter("a != b").select("a", "b").unionByName(edges.filter("a != b").select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = scratch.keep(both.distinct(), f"{name}-both")

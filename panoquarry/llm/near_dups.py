@@ -14,7 +14,8 @@ others under it (a star), then the class with most links with those in other com
 confirmed on full sets and give components. Only classes under a key that are not in one component
 even then are paired with each other, where sizes and parity sketches allow a link. Both are bounds
 that never fail, so no link between different components that a key found is lost, and a group of
-thousands costs about as many comparisons as it has members.
+thousands costs about as many comparisons as it has members. A key that leaves more than COMPARISONS
+such pairs to look at is dealt into as many slices as they need, each of which meets the key's classes.
 
 Cases: a null text, an empty one, or one without words has an empty set, linked with nothing; a text
 with fewer words than a shingle has its whole word sequence as its one shingle; rows with one doc_id
@@ -40,6 +41,8 @@ SYMBOLS = 32
 PARITY = 16
 CHUNK = 4
 CHUNKS = SYMBOLS // CHUNK
+#: Pairs of classes under a key that one task looks at.
+COMPARISONS = 4_000_000
 _SEEDS = mix(np.arange(1, SYMBOLS + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
 
 
@@ -234,12 +237,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, n_words: int = 5, perc
     # classes under a key that are in different components even so, with each other
     open_ = shared.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
     sizes = open_.groupBy("key", "label").agg(F.count("*").alias("n"))
-    split = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("major"), F.count("*").alias("labels")).filter("labels > 1")
-    rest = open_.join(split.select("key", F.col("major.label").alias("major")), "key").join(described_, "id")
+    split = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("major"), F.sum("n").alias("all"), F.count("*").alias("labels")).filter("labels > 1")
+    slices = F.ceil((F.col("all") - F.col("major.n")) * F.col("all") / COMPARISONS)
+    rest = open_.join(split.select("key", F.col("major.label").alias("major"), slices.cast("int").alias("slices")), "key").join(described_, "id")
     # one side has those outside the largest component under the key, so its members never meet
-    x, y = rest.filter("label != major").alias("x"), rest.alias("y")
+    x = rest.filter("label != major").withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int")).alias("x")
+    y = rest.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).alias("y")
     apart = (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.major")) | (F.col("x.id") < F.col("y.id")))
-    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & _may_link("x", "y", percent))
+    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.slice") == F.col("y.slice")) & apart & _may_link("x", "y", percent))
     cross = cross.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     tested = scratch.read("first-pairs", "a long, b long").unionByName(scratch.read("second-pairs", "a long, b long"))
     tested = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))

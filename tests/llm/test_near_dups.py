@@ -105,3 +105,43 @@ def test_signature_distance_drops_no_pair(spark):
     own = {"n": 100} | {f"p{c}": 0 for c in range(near_dups.PARITY)}
     one, two = (spark.createDataFrame([own | {f"c{c}": c and value for c in range(near_dups.CHUNKS)}]) for value in (0, 0x0001000100010001))
     assert one.alias("x").crossJoin(two.alias("y")).filter(near_dups._may_link("x", "y", 80)).count() == 1
+
+
+def test_key_in_slices(spark, monkeypatch):
+    """Many classes that share most words but are not linked, and a few pairs that are: every slice of a
+    key meets all its classes."""
+    monkeypatch.setattr(near_dups, "COMPARISONS", 100)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    common = [word() for _ in range(70)]
+    rows = []
+    for i in range(150):
+        own = [word() for _ in range(16)]
+        rows.append((i, " ".join(common + own)))
+        if i % 10 == 0:
+            rows.append((1000 + i, " ".join(common + own[:13] + [word() for _ in range(3)])))
+    given = [(d, t, "en", "a", len(t)) for d, t in rows]
+    check(near_dups.near_digest(spark, documents(spark, given)), rows, 2)
+
+
+def test_planted_pairs_in_a_large_group(spark):
+    """Pairs at a similarity of 0.80 to 0.85 among thousands that share a passage: all are found."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghij", k=7))
+    passage, rows, pairs = [word() for _ in range(50)], [], set()
+    for i in range(3000):
+        own = [word() for _ in range(60)]
+        rows.append((i, " ".join(passage + own)))
+        if i % 6 == 0:
+            # 109 shingles each; k words at the end differ
+            k = rng.choice([9, 10, 11, 12])
+            twin = own[:-k] + [word() for _ in range(k)]
+            rows.append((10_000 + i, " ".join(passage + twin)))
+            a, b = shingles(rows[-2][1], 2), shingles(rows[-1][1], 2)
+            if 100 * len(a & b) >= 80 * len(a | b):
+                pairs.add((i, 10_000 + i))
+    got = {r["doc_id"]: r["component_id"] for r in near_dups.near_digest(spark, documents(spark, [(d, t, "en", "a", 0) for d, t in rows])).collect()}
+    found = {(a, b) for a, b in pairs if got[b] == a}
+    print("planted", len(pairs), "found", len(found))
+    assert len(pairs) > 300 and found == pairs
+    assert sum(d != c for d, c in got.items()) == len(pairs)
