@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 def peaks(df: DataFrame, heat: Column, rows: int, cols: int, distance: int, threshold: float) -> DataFrame:
     """df with one row for each peak: r, c and value. A peak is above threshold, the largest within
     distance, and at least distance from the border. heat is a row-major array; a peak is found where
-    the map is, without a join."""
-    inner = [r * cols + c for r in range(distance, rows - distance) for c in range(distance, cols - distance)]
-    around = [dr * cols + dc for dr in range(-distance, distance + 1) for dc in range(-distance, distance + 1) if (dr, dc) != (0, 0)]
-    largest = lambda i: F.forall(F.array(*map(F.lit, around)), lambda o: heat[i] >= heat[i + o])
-    found = F.filter(F.array(*map(F.lit, inner)), lambda i: (heat[i].cast("double") > threshold) & largest(i))
-    return df.withColumn("i", F.explode(found)).withColumns({"r": F.floor(F.col("i") / cols).cast("int"), "c": (F.col("i") % cols).cast("int"), "value": heat[F.col("i")]}).drop("i")
+    the map is, without a join. Only pixels above threshold look at those around them."""
+    near = F.sequence(F.lit(-distance), F.lit(distance))
+    inside = lambda i: (F.floor(i / cols)).between(distance, rows - 1 - distance) & (i % cols).between(distance, cols - 1 - distance)
+    above = F.filter(F.sequence(F.lit(0), F.lit(rows * cols - 1)), lambda i: (heat[i].cast("double") > threshold) & inside(i))
+    largest = lambda i: F.forall(near, lambda dr: F.forall(near, lambda dc: heat[i] >= heat[i + dr * cols + dc]))
+    found = df.withColumn("i", F.explode(F.filter(above, largest)))
+    return found.withColumns({"r": F.floor(F.col("i") / cols).cast("int"), "c": (F.col("i") % cols).cast("int"), "value": heat[F.col("i")]}).drop("i")
 
 
 def peaks_of(heat: np.ndarray, distance: int = 10, threshold: float = 0.55) -> list[tuple[float, float, float]]:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +12,8 @@ from panoquarry.functions import geo, pixels
 from panoquarry.operators import peaks as heat
 from panoquarry.operators import gallery, records, sampling, scoring
 from panoquarry.plans import standins as s
-from panoquarry.plans.runs import found_in
+from panoquarry.plans.runs import found_in, settled
+from panoquarry.streaming.incremental import fold_reviews
 
 ZOOM = 17
 RINGS = geo.rings(s.AREA)
@@ -78,15 +82,27 @@ def scan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return s.table(spark, sf_dir, "orders").groupBy(F.expr(s.STATUS).alias("status"), F.expr(s.REASON).alias("reason")).agg(F.count("*").alias("n"))
+    """What becomes of panoramas that a made service was asked for: indoor ones are skipped, calls fail,
+    and the rest is settled by its metadata."""
+    about = F.struct("source", "date", "image_sizes", "tile_size", "heading", "pitch", "roll", "links")
+    indoor, failed = F.col("source").isin(*records.INDOOR), F.expr(s.FAILED)
+    asked = s.metadata(spark, sf_dir).select(F.col("pid").alias("panorama_id"), about.alias("about"), F.when(indoor, "skipped").when(failed, "failure").otherwise("success").alias("status"), F.when(indoor, "indoor").when(failed, "retry").alias("reason"))
+    return settled(asked).groupBy("status", "reason").agg(F.count("*").alias("n"))
+
+
+def terminal_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Panoramas that no later run asks for again."""
+    return records.terminal(s.table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("pid"), F.expr(s.STATUS).alias("status"))).select("pid")
+
+
+def outdoor_panos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return s.metadata(spark, sf_dir).filter(~F.col("source").isin(*records.INDOOR)).select("pid", "source")
 
 
 def record_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    day = F.col("o_orderdate")
-    sizes = F.array(F.struct(F.lit(512).alias("x"), F.lit(256).alias("y")), F.struct(F.expr(s.WIDTH).alias("x"), F.expr(s.HEIGHT).alias("y")))
-    df = s.panos(spark, sf_dir).withColumn("image_sizes", sizes).withColumn("date", F.struct(F.year(day).alias("year"), F.month(day).alias("month")))
+    df = s.metadata(spark, sf_dir).filter(~records.incomplete(F.col("date"), F.col("image_sizes"), F.col("tile_size")))
     last = F.element_at("image_sizes", -1)
-    return df.select("pid", records.year_month(F.col("date")).alias("capture_date"), last["x"].alias("width"), last["y"].alias("height"), F.degrees(F.expr(s.HEADING)).alias("camera_heading"), pixels.zoom_level(F.col("image_sizes")).alias("zoom"), pixels.clamped_width(last["x"], last["y"]).alias("used_width"))
+    return df.select("pid", records.year_month(F.col("date")).alias("capture_date"), last["x"].alias("width"), last["y"].alias("height"), F.degrees("heading").alias("camera_heading"), pixels.zoom_level(F.col("image_sizes")).alias("zoom"), pixels.clamped_width(last["x"], last["y"]).alias("used_width"))
 
 
 def history_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,9 +120,10 @@ def pixel_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def resume_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines are numbered by key; every third has been submitted."""
-    from panoquarry.sources.files import with_ordinal
+    from panoquarry.sources.files import shared_folder, with_ordinal
 
-    lines = with_ordinal(s.panos(spark, sf_dir).select("o_orderkey", "pid"), "o_orderkey").select(F.col("ordinal").alias("line_number"), "pid")
+    path = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    lines = with_ordinal(s.panos(spark, sf_dir).select("o_orderkey", "pid"), path, "o_orderkey").select(F.col("ordinal").alias("line_number"), "pid")
     sent = lines.filter("line_number % 3 = 0").select("line_number")
     return records.todo(lines, sent, "line_number")
 
@@ -191,12 +208,9 @@ def props_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p, d = s.panos(spark, sf_dir), s.detections(spark, sf_dir)
+    p, d = s.metadata(spark, sf_dir), s.detections(spark, sf_dir)
     df = p.join(d, p["o_orderkey"] == d["l_orderkey"], "left").select(
-        F.col("pid").alias("pano_id"), "lat", "lon", F.lit("launch").alias("source"), F.struct(F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month")).alias("date"),
-        F.array(F.struct(F.expr(s.WIDTH).alias("x"), F.expr(s.HEIGHT).alias("y"))).alias("image_sizes"), F.struct(F.lit(512).alias("x"), F.lit(512).alias("y")).alias("tile_size"),
-        F.expr(s.HEADING).alias("heading"), F.lit(0.0).alias("pitch"), F.lit(0.0).alias("roll"), F.lit(None).cast("string").alias("copyright_message"),
-        F.lit(None).cast("array<struct<id:string,date:struct<year:int,month:int>>>").alias("historical"), F.lit(None).cast("array<struct<pano_id:string,direction:double,address:array<struct<value:string>>>>").alias("links"),
+        F.col("pid").alias("pano_id"), "lat", "lon", "source", "date", "image_sizes", "tile_size", "heading", "pitch", "roll", "copyright_message", "historical", "links",
         F.coalesce(F.transform("dets", lambda x: F.struct(x["x_normalized"].alias("x_normalized"), x["y_normalized"].alias("y_normalized"), x["confidence"].alias("confidence"))), F.array().cast("array<struct<x_normalized:double,y_normalized:double,confidence:double>>")).alias("detections"),
     )
     return records.build_records(df, "CurbRamp", "model", "01-01-2026", "v1")
@@ -206,9 +220,36 @@ def record_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.as_json(records.payloads(_records(spark, sf_dir)))
 
 
+def record_json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reader of the JSON finds: keys, values, nulls that are written, and no detections."""
+    at = lambda path: F.get_json_object("payload", path)
+    return record_json(spark, sf_dir).select(
+        at("$.pano.panorama_id").alias("pid"), at("$.label_type").alias("label_type"), at("$.pano.capture_date").alias("capture_date"), at("$.pano.width").cast("int").alias("width"),
+        F.json_array_length(at("$.labels")).cast("long").alias("n_labels"), at("$.labels[0].pano_x").cast("int").alias("first_x"), at("$.labels[0].confidence").cast("double").alias("first_conf"),
+        F.json_array_length(at("$.pano.links")).cast("long").alias("n_links"), F.array_contains(F.json_object_keys("payload"), "detections").alias("has_detections"),
+        F.array_contains(F.json_object_keys(at("$.pano")), "copyright").alias("has_copyright"),
+    )
+
+
 def record_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = [F.col(f"pano.{k}").alias(k) for k in ("panorama_id", "capture_date", "width", "height", "tile_width", "lat", "lng", "camera_heading", "camera_pitch", "source")]
-    return _records(spark, sf_dir).select(*p, "label_type", "model_id", F.size("detections").cast("long").alias("n_detections"), F.size("pano.links").cast("long").alias("n_links"))
+    links = F.transform("pano.links", lambda x: F.concat_ws("/", x["target_gsv_panorama_id"], F.round(x["yaw_deg"]).cast("int").cast("string"), x["description"]))
+    return _records(spark, sf_dir).select(*p, "label_type", "model_id", F.size("detections").cast("long").alias("n_detections"), F.size("pano.links").cast("long").alias("n_links"), F.array_join(links, ",").alias("links"))
+
+
+def review_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks on a panorama with three detections, in the order of their events, as its review. Opening
+    comes first; errors are marks, views turn a verdict, clicks say that nothing is missed."""
+    e = s.table(spark, sf_dir, "events").filter("event_type in ('error', 'view', 'click')")
+    kind = F.when(F.col("event_type") == "error", "mark").when(F.col("event_type") == "view", "cycle").otherwise("none")
+    clicks = e.select(F.lit("run").alias("run_key"), F.col("user_id").cast("string").alias("pid"), F.col("event_id").alias("seq"), kind.alias("kind"), (F.col("event_id") % 3).alias("i"), F.lit(3).cast("long").alias("n"), F.expr("least(value / 400e0, 1e0)").alias("x"), F.lit(0.5).alias("y"))
+    first = clicks.select("run_key", "pid").distinct().select("run_key", "pid", F.lit(-1).cast("long").alias("seq"), F.lit("open").alias("kind"), F.lit(0).cast("long").alias("i"), F.lit(3).cast("long").alias("n"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    state = fold_reviews(first.unionByName(clicks))
+    return state.select("pid", "seen", F.array_join("dets", ",", "-").alias("dets"), F.size("missed").cast("long").alias("n_missed"), "no_missed")
+
+
+def area_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.range(1).select(F.lit(geo.geometry_hash(s.AREA)).alias("area_hash"))
 
 
 def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -313,13 +354,17 @@ QUERIES = {
         pixel_payload, resume_anti_join, zero_detection_panos, top_dense, review_sample, crop_window, local_peaks, props_extract, record_json, record_fields,
         gallery_crops, gallery_modes, review_progress, verdict_export, verdict_labels, legacy_verdicts, score_reports, calibrated_threshold,
         coverage_merge, failed_tiles, submission_summary, latest_record, first_with_detections, marker_places, pano_titles,
+        record_json_fields, review_fold, area_hash, terminal_ids, outdoor_panos,
     )
 }
 
 _N = float(1 << ZOOM)
 _TILE = (f"cast(trunc((lon + 180e0) / 360e0 * {_N!r}e0) as integer)", f"cast(trunc((1e0 - asinh(tan(radians(lat))) / pi()) / 2e0 * {_N!r}e0) as integer)")
-_X0, _Y0 = geo.tile_at(_BOX[3], _BOX[0], ZOOM)
-_X1, _Y1 = geo.tile_at(_BOX[1], _BOX[2], ZOOM)
+#: The corners of the area as they are given.
+_POINTS = "points(lon, lat) as (values " + ", ".join(f"({x!r}e0, {y!r}e0)" for ring in s.AREA["coordinates"] for x, y in ring) + ")"
+_WHOLE = f"not ({s.NO_DATE} or {s.NO_SIZES} or {s.NO_TILES})"
+_WIDTH = f"(case when {s.WIDE} then 3 * ({s.HEIGHT}) else {s.WIDTH} end)"
+_LINKS = f"list_transform(range(1, case when {s.NO_LINKS} then 0 else {s.N_LINKS} end + 1), lambda i: pid || '-' || i || '/' || round(degrees(i / 10e0))::int || '/' || case when i % 2 = 1 then 'street ' || pid else '' end)"
 
 
 def _summary(keep: str, checked: str) -> str:
@@ -345,13 +390,17 @@ _STATES = (
 )
 SQL = {
     "tile_of_point": f"with {PANOS} select pid, {_TILE[0]} as x, {_TILE[1]} as y from panos",
-    "tile_grid": f"select x::int as x, y::int as y from range({_X0}, {_X1 + 1}) a(x), range({_Y0}, {_Y1 + 1}) b(y)",
-    "area_bbox": f"with {EDGES} select min(x1) as west, min(y1) as south, max(x1) as east, max(y1) as north from edges",
+    # x grows east, y grows south: corners in a row of x and a column of y
+    "tile_grid": f"with {_POINTS}, t as (select min({_TILE[0]}) as x0, max({_TILE[0]}) as x1, min({_TILE[1]}) as y0, max({_TILE[1]}) as y1 from points), xs as (select unnest(range(x0, x1 + 1))::int as x from t), ys as (select unnest(range(y0, y1 + 1))::int as y from t) select x, y from xs, ys",
+    "area_bbox": f"with {_POINTS} select min(lon) as west, min(lat) as south, max(lon) as east, max(lat) as north from points",
+    "area_hash": f"select sha256('{json.dumps(s.AREA, sort_keys=True, separators=(',', ':'))}') as area_hash",
+    "terminal_ids": f"select cast(o_orderkey as varchar) as pid from orders where {s.STATUS} in ('success', 'skipped')",
+    "outdoor_panos": "select cast(o_orderkey as varchar) as pid, 'launch' as source from orders where o_orderpriority != '1-URGENT'",
     "pano_in_area": f"with {INSIDE} select pid, lat, lon from inside",
     "todo_anti_join": f"with {INSIDE} select pid from inside where pid not in (select pid from panos where o_orderstatus = 'F')",
     "scan_summary": f"with {INSIDE} select count(*) as found, count_if(o_orderstatus = 'F') as cached, count_if(o_orderstatus != 'F') as todo, count_if(o_orderstatus != 'F') * 1.5e0 / 3600e0 as hours from inside",
     "status_counts": f"select {s.STATUS} as status, {s.REASON} as reason, count(*) as n from orders group by 1, 2",
-    "record_units": f"with {PANOS} select pid, year(o_orderdate) || '-' || lpad(month(o_orderdate)::varchar, 2, '0') as capture_date, {s.WIDTH} as width, {s.HEIGHT} as height, degrees({s.HEADING}) as camera_heading, 1 as zoom, {s.WIDTH} as used_width from panos",
+    "record_units": f"with {PANOS} select pid, year(o_orderdate) || '-' || lpad(month(o_orderdate)::varchar, 2, '0') as capture_date, {_WIDTH} as width, {s.HEIGHT} as height, case when not ({s.NO_ANGLE}) then degrees({s.HEADING}) end as camera_heading, least(3, o_orderkey % 6)::int as zoom, least({_WIDTH}, 2 * ({s.HEIGHT})) as used_width from panos where {_WHOLE}",
     "history_filter": f"with {PANOS} select pid, len({_HISTORY})::int as n, array_to_string({_HISTORY}, ',') as history from panos",
     "pixel_payload": f"with {DETS} select cast(k as varchar) as pid, idx, round_even(x * ({s.WIDTH}), 0)::int as pano_x, round_even(y * ({s.HEIGHT}), 0)::int as pano_y, conf as confidence from dets join orders on o_orderkey = k",
     "resume_anti_join": "with l as (select row_number() over (order by o_orderkey) as line_number, cast(o_orderkey as varchar) as pid from orders) select * from l where line_number % 3 != 0",
@@ -372,7 +421,10 @@ SQL = {
     "props_extract": "select json_extract_string(props, '$.k') as k, count(*) as n from events group by 1",
 }
 SQL |= {
-    "record_fields": f"with {PANOS} select pid as panorama_id, year(o_orderdate) || '-' || lpad(month(o_orderdate)::varchar, 2, '0') as capture_date, {s.WIDTH} as width, {s.HEIGHT} as height, 512 as tile_width, lat, lon as lng, degrees({s.HEADING}) as camera_heading, 0e0 as camera_pitch, 'launch' as source, 'CurbRamp' as label_type, 'model' as model_id, (select count(*) from lineitem where l_orderkey = o_orderkey) as n_detections, 0::bigint as n_links from panos",
+    "record_fields": f"with {PANOS} select pid as panorama_id, year(o_orderdate) || '-' || lpad(month(o_orderdate)::varchar, 2, '0') as capture_date, {_WIDTH} as width, {s.HEIGHT} as height, 512 as tile_width, lat, lon as lng, case when not ({s.NO_ANGLE}) then degrees({s.HEADING}) end as camera_heading, 0e0 as camera_pitch, {s.SOURCE} as source, 'CurbRamp' as label_type, 'model' as model_id, (select count(*) from lineitem where l_orderkey = o_orderkey) as n_detections, len({_LINKS}) as n_links, array_to_string({_LINKS}, ',') as links from panos where {_WHOLE}",
+    "record_json_fields": f"with {PANOS}, {DETS}, f as (select k, count(*) as n, arg_min(x, idx) as x, arg_min(conf, idx) as conf from dets group by k) select pid, 'CurbRamp' as label_type, year(o_orderdate) || '-' || lpad(month(o_orderdate)::varchar, 2, '0') as capture_date, {_WIDTH} as width, coalesce(n, 0) as n_labels, round_even(x * {_WIDTH}, 0)::int as first_x, conf as first_conf, len({_LINKS}) as n_links, false as has_detections, true as has_copyright from panos left join f on k = o_orderkey where {_WHOLE}",
+    # a verdict turns once for each view of its number; a mark revokes and forbids that nothing is missed
+    "review_fold": "with e as (select cast(user_id as varchar) as pid, event_id, event_type from events where event_type in ('error', 'view', 'click')), v as (select pid, i, count_if(event_type = 'view' and event_id % 3 = i) % 4 as turns from e, range(3) t(i) group by pid, i), d as (select pid, string_agg(['-', 'true', 'false', 'unsure'][(turns + 1)::bigint], ',' order by i) as dets from v group by pid) select pid, true as seen, dets, count_if(event_type = 'error') as n_missed, count_if(event_type = 'error') = 0 and count_if(event_type = 'click') % 2 = 1 as no_missed from e join d using (pid) group by pid, dets",
     "gallery_crops": f"with sample as ({SQL['review_sample']}), {DETS}, p as (select s.pid, s.\"group\", idx, conf, x, y, x * 4096e0 as px, y * 2048e0 as py from sample s join dets on cast(k as varchar) = s.pid), w as (select *, trunc(least(greatest(px - 256e0, 0e0), 3584e0)) as l, trunc(least(greatest(py - 256e0, 0e0), 1536e0)) as t from p)"
     " select pid, \"group\", pid || '_det' || (idx - 1) || '.jpg' as img, round(conf, 4) as conf, round(x, 5) as x, round(y, 5) as y, round((px - l) / 512e0, 4) as cx, round((py - t) / 512e0, 4) as cy from w",
     "gallery_modes": f"with {_STATES} select 'all' as mode, count(*) as n from rv union all select 'det', count(*) from rv where n > 0 union all select 'empty', count(*) from rv where n = 0 union all select 'todo', count(*) from rv where not reviewed",

@@ -16,8 +16,19 @@ WIDTH = "case when o_orderkey % 2 = 0 then 16384 else 13312 end"
 HEIGHT = "case when o_orderkey % 2 = 0 then 8192 else 6656 end"
 HEADING = "(o_orderkey % 6283) / 1000e0"
 VERDICT = "case when o_orderkey % 17 = 0 then null when l_returnflag in ('A', 'N') then 'true' when l_linestatus = 'F' then 'false' else 'unsure' end"
-STATUS = "case when o_orderpriority = '1-URGENT' then 'skipped' when o_orderkey % 97 = 0 then 'skipped' when o_orderkey % 53 = 0 then 'failure' else 'success' end"
-REASON = "case when o_orderpriority = '1-URGENT' then 'indoor' when o_orderkey % 97 = 0 then 'incomplete' when o_orderkey % 53 = 0 then 'retry' else 'done' end"
+#: Where a panorama was taken; the first is indoors.
+SOURCE = "case when o_orderpriority = '1-URGENT' then 'innerspace' else 'launch' end"
+#: Every nineteenth panorama has no date, every twenty-third no sizes, every twenty-ninth no tiles.
+NO_DATE, NO_SIZES, NO_TILES = "o_orderkey % 19 = 0", "o_orderkey % 23 = 0", "o_orderkey % 29 = 0"
+#: Some calls fail, some answers lack an angle.
+FAILED, NO_ANGLE = "o_orderkey % 53 = 0", "o_orderkey % 31 = 0"
+#: How many sizes a picture comes in; every seventh is three times as wide as high.
+N_SIZES, WIDE = "(1 + o_orderkey % 6)", "o_orderkey % 7 = 0"
+#: How many neighbours a panorama has; every fifth does not say. Every second one has a street.
+N_LINKS, NO_LINKS = "(o_orderkey % 4)", "o_orderkey % 5 = 0"
+#: What became of a panorama, by the rules above.
+STATUS = f"case when o_orderpriority = '1-URGENT' then 'skipped' when {FAILED} then 'failure' when {NO_DATE} or {NO_SIZES} or {NO_TILES} then 'skipped' when {NO_ANGLE} then 'failure' else 'success' end"
+REASON = f"case when o_orderpriority = '1-URGENT' then 'indoor' when {FAILED} then 'retry' when {NO_DATE} or {NO_SIZES} or {NO_TILES} then 'incomplete metadata' when {NO_ANGLE} then 'angles missing' end"
 #: What a made service answers to a record.
 HTTP = "case when o_orderkey % 5 = 0 then 201 when o_orderkey % 7 = 0 then 404 when o_orderkey % 11 = 0 then 503 else 200 end"
 #: Every hundred-and-first review has one verdict too few.
@@ -32,6 +43,20 @@ def panos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").selectExpr("o_orderkey", "cast(o_orderkey as string) as pid", f"{LAT} as lat", f"{LON} as lon", "o_orderstatus", "o_orderdate", "o_orderpriority", "o_custkey")
 
 
+def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """panos with their metadata as a service answers them, gaps included."""
+    width = f"case when {WIDE} then 3 * ({HEIGHT}) else {WIDTH} end"
+    sizes = f"transform(sequence(1, cast({N_SIZES} as int)), i -> if(i = {N_SIZES}, struct({width} as x, {HEIGHT} as y), struct(cast(256 * i as int) as x, cast(128 * i as int) as y)))"
+    street = "if(i % 2 = 1, array(struct(concat('street ', pid) as value)), cast(array() as array<struct<value:string>>))"
+    found = f"transform(slice(array(1, 2, 3), 1, cast({N_LINKS} as int)), i -> struct(concat(pid, '-', i) as pano_id, i / 10e0 as direction, {street} as address))"
+    return panos(spark, sf_dir).selectExpr(
+        "*", f"{SOURCE} as source", f"case when not ({NO_DATE}) then struct(year(o_orderdate) as year, month(o_orderdate) as month) end as date",
+        f"case when {NO_SIZES} then cast(array() as array<struct<x:int,y:int>>) else {sizes} end as image_sizes", f"case when not ({NO_TILES}) then struct(512 as x, 512 as y) end as tile_size",
+        f"case when not ({NO_ANGLE}) then {HEADING} end as heading", "0e0 as pitch", "0e0 as roll", "cast(null as string) as copyright_message",
+        "cast(null as array<struct<id:string,date:struct<year:int,month:int>>>) as historical", f"case when not ({NO_LINKS}) then {found} end as links",
+    )
+
+
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pid, and dets: array of (idx order, conf, x, y, flag, status), in order."""
     lines = table(spark, sf_dir, "lineitem")

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import json
+import re
+import tempfile
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from panoquarry import schemas
 
@@ -175,17 +178,28 @@ def append_results(df: DataFrame, path: str) -> None:
     append_lines(df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")), path)
 
 
-def with_ordinal(df: DataFrame, *order: str) -> DataFrame:
-    """A contiguous line number from 1, by order: counts by range partition, then numbers within.
-    Nothing is sorted in one task."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where it is unset, a temporary one if all runs on this machine;
+    on a cluster that would be a folder of the driver alone, so there it must be set."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="panoquarry-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def with_ordinal(df: DataFrame, path: str, *order: str) -> DataFrame:
+    """A contiguous line number from 1, by order. Rows are written to path in ranges; the ranges are
+    counted, and rows are numbered within theirs, so nothing is sorted in one task."""
     from pyspark.sql import Window
 
-    ranged = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()).sortWithinPartitions(*order)
-    kept = ranged.persist()
-    base, starts = 0, []
-    for r in kept.groupBy("_p").count().orderBy("_p").collect():  # one row for each partition
-        starts.append((r[0], base))
-        base += r[1]
-    shift = df.sparkSession.createDataFrame(starts, "_p int, _before long")
+    spark = df.sparkSession
+    df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+    kept = spark.read.schema(StructType([*df.schema.fields, StructField("_p", IntegerType())])).parquet(path)
+    # one row for each range
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = kept.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     at = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) + F.col("_before")
-    return kept.join(F.broadcast(shift), "_p").withColumn("ordinal", at.cast("long")).drop("_p", "_before")
+    return kept.join(F.broadcast(starts), "_p").withColumn("ordinal", at.cast("long")).drop("_p", "_before")

@@ -12,10 +12,10 @@ from panoquarry.streaming.incremental import fold_reviews, follow_reviews, once
 
 
 def test_caches(spark, tmp_path):
-    (tmp_path / "c").write_text("abc\ndef\nabc\n")
-    (tmp_path / "s").write_text("1\n3\n\n3\n")
-    assert sorted(r[0] for r in files.processed_ids(spark, f"{tmp_path}/c").collect()) == ["abc", "def"]
-    assert sorted(r[0] for r in files.submitted_lines(spark, f"{tmp_path}/s").collect()) == [1, 3]
+    (tmp_path / "c").write_text("lime\nteak\nlime\nlime\nelder\n")
+    (tmp_path / "s").write_text("\n12\n5\n\n12\n700\n")
+    assert sorted(r[0] for r in files.processed_ids(spark, f"{tmp_path}/c").collect()) == ["elder", "lime", "teak"]
+    assert sorted(r[0] for r in files.submitted_lines(spark, f"{tmp_path}/s").collect()) == [5, 12, 700]
     assert files.processed_ids(spark, f"{tmp_path}/none").count() == 0
 
 
@@ -87,12 +87,73 @@ def test_detector_loads_once():
         loads.append(1)
         return lambda pixels: heat if pixels.shape == (3, 4, 8) else None
 
-    d = detector.Detector("made", load)
+    d = detector.Detector("made", load, size=(4, 8))
     picture = np.zeros((4, 9, 3), dtype=np.uint8)
     assert d(picture) == d(picture) == [(0.5, 0.5, 0.8)] and loads == [1]
     assert detector.best_device(lambda name: name == "mps") == "mps" and detector.best_device(lambda name: False) == "cpu"
 
 
+def test_pictures_are_brought_to_the_size_of_the_model():
+    from panoquarry.functions.detector import resized, two_to_one
+
+    ramp = np.repeat(np.arange(0, 240, 10, dtype=np.uint8)[None, :, None], 12, 0).repeat(3, 2)
+    assert resized(ramp, (12, 24)) is ramp and resized(ramp, None) is ramp
+    half = resized(ramp, (6, 12))
+    # halves of pairs, smoothed over the neighbours: a ramp stays a ramp
+    assert half.shape == (6, 12, 3) and half[2, 1:-1, 0].tolist() == [25 + 20 * i for i in range(10)]
+    twice = resized(ramp, (24, 48))
+    assert twice.shape == (24, 48, 3) and twice[0, 1, 0] in (2, 3) and twice[0, 2, 0] in (7, 8) and (np.diff(twice[5, :, 1].astype(int)) >= 0).all()
+    assert two_to_one(np.zeros((10, 35, 3))).shape == (10, 20, 3) and resized(np.full((7, 9, 3), 200, np.uint8), (4, 5)).min() == 200
+
+
+def test_jpeg_sizes_and_qualities(tmp_path):
+    from panoquarry.functions.pictures import Jpeg
+
+    done = []
+
+    class Made:
+        def __init__(self, *about):
+            self.about = about
+
+        def crop(self, box):
+            return Made("crop", box)
+
+        def resize(self, size, how):
+            return Made("resize", size, how)
+
+        def convert(self, mode):
+            return Made(*self.about, mode)
+
+        def save(self, path, quality):
+            done.append((*self.about, path, quality))
+
+    keep = Jpeg(f"{tmp_path}/images")
+    keep(Made(), (1, 2, 3, 4), "a_det0.jpg")
+    keep(Made(), None, "a_full.jpg")
+    assert done == [("crop", (1, 2, 3, 4), "RGB", f"{tmp_path}/images/a_det0.jpg", 85), ("resize", (1600, 800), 2, "RGB", f"{tmp_path}/images/a_full.jpg", 80)]
+
+
+def test_calls_do_not_wait_for_ever(monkeypatch):
+    import socket
+
+    set_to = []
+    monkeypatch.setattr(socket, "getdefaulttimeout", lambda: None)
+    monkeypatch.setattr(socket, "setdefaulttimeout", set_to.append)
+    network._bounded()
+    assert set_to == [30.0]
+
+
+def test_peaks_of_a_large_map(spark):
+    """As an expression over the array, against the same in numpy."""
+    from panoquarry.operators.peaks import peaks
+
+    rng = np.random.default_rng(4)
+    heat = rng.random((64, 128))
+    df = spark.createDataFrame([(1, heat.ravel().tolist())], "id int, heat array<double>")
+    got = {(r["r"], r["c"]) for r in peaks(df, df["heat"], 64, 128, 5, 0.9).collect()}
+    assert got and got == {(round(y * 64), round(x * 128)) for x, y, _ in peaks_of(heat, 5, 0.9)}
+
+
 def test_post_says_the_status(tmp_path):
     import threading
     from http.server import BaseHTTPRequestHandler, HTTPServer
