@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache, wraps
@@ -13,21 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panoquarry.sources.files import shared_folder
+
 #: Rows and bytes, whichever comes first, of an Arrow batch that goes to a Python worker.
 ARROW_ROWS, ARROW_BYTES = 1000, 2 << 20
 #: Bytes up to which a table may be broadcast. Beyond it the join shuffles.
 BROADCAST_BYTES = 32 << 20
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="panoquarry-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
