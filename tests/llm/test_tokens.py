@@ -98,6 +98,30 @@ def test_ledger(spark, tmp_path):
     assert books.totals().count() == 0
 
 
+def test_ledger_is_compacted(spark, tmp_path):
+    """The totals stay, numbers that are in the table are still known, and a gap ends it."""
+    books = ledger.Ledger(spark, f"file://{tmp_path}/books")
+    rows = [(i, "one two " * i, "en", "ab"[i % 2], 0) for i in range(1, 6)]
+    for i, row in zip((1, 2, 3, 5, 6), rows, strict=True):
+        assert books.commit(i, ledger.changes(documents(spark, [row])))
+    want = sorted(map(tuple, books.totals().collect()))
+    assert books.compact() == 3 == books.compact()
+    assert sorted(p.name for p in (tmp_path / "books").iterdir()) == ["batch-000000000005", "batch-000000000006", "upto-000000000003"]
+    assert sorted(map(tuple, books.totals().collect())) == want
+    assert not books.commit(2, ledger.changes(documents(spark, rows))) and books.commit(4, ledger.changes(documents(spark, rows)))
+    want = sorted(map(tuple, books.totals().collect()))
+    assert books.compact() == 6 and sorted(map(tuple, books.totals().collect())) == want
+    assert [p.name for p in (tmp_path / "books").iterdir()] == ["upto-000000000006"]
+
+
+def test_two_writers_of_one_batch(spark, tmp_path):
+    books = ledger.Ledger(spark, f"file://{tmp_path}/books")
+    one, two = (ledger.changes(documents(spark, [(1, t, "en", "a", 0)])) for t in ("one", "one two three"))
+    assert books._put(one, "batch-000000000001") and not books._put(two, "batch-000000000001")
+    assert [r["n_tokens"] for r in books.totals().collect()] == [len(encode("one"))]
+    assert [p.name for p in (tmp_path / "books").iterdir()] == ["batch-000000000001"]
+
+
 def test_corpus_batches(spark, monkeypatch):
     """The query commits deletes and revisions, each batch once, and comes to the inserts' totals."""
     sent = []
