@@ -174,8 +174,8 @@ def _similar_sizes(a: Column, b: Column, percent: int) -> Column:
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, n_words: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (a, b) that are linked on full sets."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = _input(docs).join(wanted, "doc_id", "left_semi")
+    wanted = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{name}-wanted")
+    texts = _input(docs).join(scratch.sized(wanted, f"{name}-wanted"), "doc_id", "left_semi")
     sets = scratch.keep(full_sets(texts, n_words).dropDuplicates(["id", "n", "hashes"]), f"{name}-sets")
 
     @released
@@ -197,7 +197,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, n_words: int, percent: int, sc
     right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("hashes").alias("hb"))
     met = pairs.select("a", "b").join(left, "a").join(right, "b").filter(_similar_sizes(F.col("na"), F.col("nb"), percent))
     links = scratch.keep(met.select("a", "b", "ha", "hb").mapInArrow(confirm, "a long, b long").distinct(), f"{name}-links")
-    scratch.drop(f"{name}-sets")
+    scratch.drop(f"{name}-sets", f"{name}-wanted")
     return links
 
 
