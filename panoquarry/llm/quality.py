@@ -6,8 +6,8 @@ precision for bad documents rises, on a pruning part it drops the last condition
 not hurt, and a rule that reaches MIN_PRECISION there joins the list; the rows that it covers go, and
 the next rule is grown. The list becomes one ordered Spark ``when`` chain.
 
-The learner sees at most ``SAMPLE`` labelled rows, those with the lowest hash of doc_id; statistics
-and verdicts cover every document.
+The learner sees at most ``SAMPLE`` labelled documents, those with the lowest hash of doc_id; statistics
+and verdicts cover every document. The sample is chosen by ids alone, so no text moves for it.
 
 Cases: a null or empty text has no words and fails the base gate; a table without labels, or with
 labels of one class, gives an empty list; repeated doc_ids of labels count once each; an empty table
@@ -175,13 +175,19 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray) -> list[Rule]:
     return rules
 
 
-def fit(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule]:
-    """Rules from the labelled documents (quality 0 is bad) that pass the base gate."""
+def sampled(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, quality of at most sample labelled documents of docs, to be broadcast."""
     label = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    there = label.join(docs.select("doc_id"), "doc_id", "left_semi")
+    return F.broadcast(scratch.keep(there.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "sample"))
+
+
+def fit(stats: DataFrame, sample: DataFrame) -> list[Rule]:
+    """Rules from the sampled documents (quality 0 is bad) that pass the base gate."""
     rows = (
-        stats.filter(~base_failed()).join(label, "doc_id")
+        stats.filter(~base_failed()).join(sample, "doc_id")
         .select(F.xxhash64("doc_id").alias("h"), "doc_id", "quality", *(F.expr(e).alias(k) for k, e in FEATURES.items()))
-        .orderBy("h", "doc_id", *FEATURES).limit(sample).collect()
+        .orderBy("h", "doc_id", *FEATURES).limit(SAMPLE).collect()
     )
     if not rows:
         return []
@@ -201,7 +207,7 @@ def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, COUNTS, base_failed, rule (0: none) and kept of each row of docs."""
     scratch = Scratch(spark, "quality")
     stats = scratch.keep(measure(docs), "stats")
-    rules = fit(stats, labels)
+    rules = fit(stats, sampled(docs, labels, scratch))
     df = stats.withColumn("base_failed", base_failed()).withColumn("rule", verdict(rules))
     return df.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
 
@@ -215,8 +221,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFr
     """The rows of docs that are kept, with their columns. Rules are fitted in a pass of its own;
     the statistics are then carried along with each row, so that rows need no key."""
     scratch = Scratch(spark, "quality")
-    labelled = docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
-    rules = fit(scratch.keep(measure(labelled), "labelled"), labels)
+    sample = sampled(docs, labels, scratch)
+    rules = fit(scratch.keep(measure(docs.join(sample, "doc_id", "left_semi")), "labelled"), sample)
     names, schema = docs.columns, docs.schema
     text = names.index("text")
     flat = docs.select(*(F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)))
