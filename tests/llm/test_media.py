@@ -6,6 +6,8 @@ import random
 import wave
 import zlib
 
+import numpy as np
+
 from panoquarry.llm import media
 from tests.llm.helpers import ODD, documents, table_rows
 
@@ -47,3 +49,15 @@ def test_cuts_follow_content():
     one, two = ({media.digest(x[i:j]) for i, j in zip([0, *media.cuts(x)], media.cuts(x))} for x in (a, b))
     assert len(one & two) >= len(one) - 3
     assert all(j - i <= media.MOST for i, j in zip([0, *media.cuts(a)], media.cuts(a)))
+
+
+def test_cuts_do_not_follow_blocks(monkeypatch):
+    """The same chunks, however many bytes the hash is taken of at once."""
+    rng = np.random.default_rng(3)
+    files = [rng.integers(0, 256, n, dtype=np.uint8).tobytes() for n in (0, 1, 63, 64, 65, 700, 50_000)] + [b"a" * 40_000]
+    whole = [media.cuts(f) for f in files]
+    assert len(whole[6]) > 10
+    for block in (1, 64, 1000, 4099):
+        monkeypatch.setattr(media, "GEAR_BLOCK", block)
+        some = files if block > 1 else files[:6]
+        assert [media.cuts(f) for f in some] == whole[: len(some)]
