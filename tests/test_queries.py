@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from panoquarry.plans import queries
+from panoquarry.plans import queries, run_queries
 
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
 
@@ -19,13 +19,16 @@ def rows(columns, found):
     return sorted((tuple(plain(r[i]) for i in order) for r in found), key=repr)  # some values are null
 
 
-@pytest.mark.parametrize("name", sorted(queries.SQL))
+QUERIES, SQL = queries.QUERIES | run_queries.QUERIES, queries.SQL | run_queries.SQL
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_same_as_sql(spark, sf_dir, name):
     db = duckdb.connect()
     for t in TABLES:
         db.sql(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
-    want = db.sql(queries.SQL[name])
-    got = queries.QUERIES[name](spark, sf_dir)
+    want = db.sql(SQL[name])
+    got = QUERIES[name](spark, sf_dir)
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall())
 
@@ -33,4 +36,4 @@ def test_same_as_sql(spark, sf_dir, name):
 def test_all_registered():
     import __spark_entry__
 
-    assert set(queries.QUERIES) <= set(__spark_entry__.queries()) and set(queries.QUERIES) - set(queries.SQL) == {"record_json"}
+    assert set(QUERIES) <= set(__spark_entry__.queries()) and set(QUERIES) - set(SQL) == {"record_json"}
