@@ -13,15 +13,17 @@ by one:
    (run_index): its samples give the matching statistics of all opened segments against each other,
    and windows that match elsewhere for LENGTH bytes are marked. Equal windows have equal keys, so
    no match lies between shards, and no index is larger than a shard.
-4. A key whose kinds exceed KEY_BYTES has no bounded index: its windows are dealt out, hashed and
-   counted by Spark instead, by (key, hash), and those that repeat are joined back to their places; a
-   window that very many kinds have is split by the join.
+4. Keys whose kinds exceed KEY_BYTES are narrowed until an index can hold them. All windows of a key hold
+   the string of the least hash, at a distance from their start. Parted by that distance in two halves,
+   the windows of a half share a longer string, whose hash is their new key; equal windows stay
+   together. Parts that are equal or alone are done, as in 1 and 2; the rest goes to an index or is
+   halved again, at most about log2(LENGTH) times.
 
-Keys, segments and windows are counted by partial aggregates, so a passage in a third of all
+Keys and segments are counted by partial aggregates, so a passage in a third of all
 documents is one key like any other. A segment where the least hash stands at two places (as in
 periodic text) may repeat within itself and is always opened. All counts cover all rows.
 
-Whole segments and the windows of step 4 are told apart by their key and a hash of their own, 64 bits
+Whole segments and the parts of step 4 are told apart by their key and a hash of their own, 64 bits
 each; the index compares bytes.
 
 Cases: a null text counts as empty; texts under LENGTH bytes have no window and lose nothing, but
@@ -32,6 +34,7 @@ empty table gives no rows; other input columns may have any name.
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,13 +45,15 @@ from pyspark.sql import functions as F
 
 from panoquarry.llm.arrays import U, Ranges, buffers, mix, slices
 from panoquarry.llm.run_index import long_matches
-from panoquarry.llm.runtime import Scratch, released
+from panoquarry.llm.runtime import ARROW_BYTES, Scratch, released
 
 LENGTH = 200
 GRAM = 56
-#: Bytes of the opened segments that one index holds, and of a key that goes into an index at all.
+#: Bytes of the opened segments that one index holds, and of a key that goes into an index as it is.
 SHARD_BYTES = 1 << 20
 KEY_BYTES = 1 << 19
+#: What a narrower key's hash is of, besides its bytes: the key that it was, and the distances.
+_PERSON = "<qii"
 
 
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -136,16 +141,6 @@ def _pieces(docs: DataFrame, opened: DataFrame, length: int) -> DataFrame:
     return met.mapInArrow(find, "key long, seg long, piece binary").dropDuplicates(["key", "seg"])
 
 
-def _hashed(pieces: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the windows of pieces, and each one's piece and place there."""
-    data, at = buffers(pieces)
-    n = np.diff(at) - length + 1
-    own = np.repeat(np.arange(len(n)), n)
-    place = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
-    start = at[own] + place
-    return Ranges(data).of(start, start + length), own, place
-
-
 def _as_runs(own: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Piece, first and last place of each run of places; both are in order."""
     new = np.ones(len(own), dtype=bool)
@@ -183,31 +178,91 @@ def _within_keys(pieces: DataFrame, length: int) -> DataFrame:
     return grouped.mapInArrow(find, _RUNS)
 
 
-def _across(pieces: DataFrame, length: int, scratch: Scratch) -> DataFrame:
-    """The same for keys beyond KEY_BYTES: a row for each window, counted by Spark."""
+def _anchors(piece: bytes, length: int, gram: int) -> Iterator[tuple[int, int, int]]:
+    """First and last window start and anchor: the first place in these windows of their least hash."""
+    with np.errstate(over="ignore"):
+        grams = Ranges(np.frombuffer(piece, dtype=np.uint8)).all_of(gram)
+    first, last = 0, len(piece) - length
+    for place in np.flatnonzero(grams == grams.min()).tolist():
+        if first > last:
+            return
+        yield first, min(place, last), place
+        first = place + 1
 
-    @released
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with np.errstate(over="ignore"):
-            for batch in batches:
-                hashes, own, place = _hashed(batch.column(2), length)
-                own = pa.array(own)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), batch.column(0).take(own), batch.column(1).take(own), pa.array(place.astype(np.int32))], ["window", "key", "seg", "a"])
+
+def _halves(first: int, last: int, at: int, lo: int, hi: int) -> Iterator[tuple[int, int, int, int]]:
+    """Windows from first to last, whose anchor at is lo to hi bytes behind their start, in two parts by
+    that distance: first and last window, and the part's lo and hi."""
+    middle = (lo + hi + 1) // 2
+    for low, high in ((lo, middle - 1), (middle, hi)):
+        begin, end = max(first, at - high), min(last, at - low)
+        if begin <= end:
+            yield begin, end, low, high
+
+
+def _number(data: bytes, person: bytes = b"") -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8, person=person).digest(), "little", signed=True)
+
+
+_KIND = "key long, seg long, piece binary, n int, at int, lo int, hi int"
+
+
+def _narrowed(kinds: DataFrame, length: int, gram: int) -> DataFrame:
+    """The windows of kinds (_KIND), dealt to narrower keys: okey, oseg and shift tell where a part was cut.
+    All windows of a part hold the same bytes from lo before the anchor to length - hi behind it, and equal
+    windows have equal anchors, so these bytes are a key that equal windows share. Bytes come once a batch."""
+    schema = pa.schema([(k, pa.int64()) for k in ("okey", "oseg")] + [("shift", pa.int32())] + [(k, pa.int64()) for k in ("key", "seg")] + [("piece", pa.binary())] + [(k, pa.int32()) for k in ("n", "at", "lo", "hi")])
+
+    def parts(key: int, piece: bytes, at: int | None, lo: int, hi: int) -> Iterator[tuple]:
+        anchored = _anchors(piece, length, gram) if at is None else [(0, len(piece) - length, at)]
+        for first, last, place in anchored:
+            for begin, end, low, high in _halves(first, last, place, lo, hi):
+                own = piece[begin : end + length]
+                core = piece[place - low : place + length - high]
+                yield begin, _number(core, struct.pack(_PERSON, key, low, high)), _number(own), own, place - begin, low, high
+
+    def write(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     @released
-    def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places = batch.column(2)
-            own = np.repeat(np.arange(batch.num_rows), pc.list_value_length(places).to_numpy())
-            piece, a, b = _as_runs(own, places.flatten().to_numpy())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(piece)), batch.column(1).take(pa.array(piece)), pa.array(a), pa.array(b)], ["key", "seg", "a", "b"])
-
-    windows = pieces.mapInArrow(find, "window long, key long, seg long, a int")
-    again = windows.groupBy("key", "window").agg(F.count("*").alias("n")).filter("n > 1").select("key", "window")
-    # a table of its own, so that the join may split a window that is in very many rows
-    again = scratch.sized(scratch.keep(again, "again"), "again")
-    places = windows.join(again, ["key", "window"]).groupBy("key", "seg").agg(F.array_sort(F.collect_list("a")).alias("places"))
-    return places.mapInArrow(join_up, _RUNS)
+            told, rows, size = set(), [], 0
+            for i in range(batch.num_rows):
+                okey, oseg, piece, at, lo, hi = (batch.column(k)[i].as_py() for k in range(6))
+                for shift, key, seg, own, place, low, high in parts(okey, piece, at, lo, hi):
+                    new = (key, seg) not in told
+                    told.add((key, seg))
+                    rows.append((okey, oseg, shift, key, seg, own if new else None, len(own), place, low, high))
+                    size += 100 + new * len(own)
+                    if size > ARROW_BYTES:
+                        yield write(rows)
+                        rows, size = [], 0
+            if rows:
+                yield write(rows)
+
+    return kinds.select("key", "seg", "piece", "at", "lo", "hi").mapInArrow(find, f"okey long, oseg long, shift int, {_KIND}")
+
+
+def _repeated(kinds: DataFrame, length: int, gram: int, scratch: Scratch, level: int = 0) -> DataFrame:
+    """Runs (_RUNS) of the windows of kinds (_KIND, each once) that stand elsewhere in kinds as well. Keys
+    that an index can hold get one; the others are narrowed until it can, which halves what is not told
+    apart at each level: after log2(length) of them a key holds one window."""
+    large = kinds.groupBy("key").agg(F.sum("n").alias("bytes")).filter(F.col("bytes") > KEY_BYTES).select("key")
+    large = scratch.keep(large, f"large{level}")
+    if large.isEmpty():
+        return _within_keys(kinds, length)
+    large = scratch.sized(large, f"large{level}")
+    within = _within_keys(kinds.join(large, "key", "left_anti"), length)
+    dealt = scratch.keep(_narrowed(kinds.join(large, "key", "left_semi"), length, gram), f"dealt{level}")
+    place = dealt.select("okey", "oseg", "shift", "key", "seg")
+    whole = dealt.groupBy("key", "seg").agg(F.count("*").alias("times"), F.max("n").alias("n")).filter("times > 1").select("key", "seg", F.lit(0).alias("a"), (F.col("n") - length).alias("b"))
+    mixed = dealt.groupBy("key").agg(F.min("seg").alias("least"), F.max("seg").alias("most")).filter("least != most").select("key")
+    finer = dealt.filter("piece is not null").select("key", "seg", "piece", "n", "at", "lo", "hi").join(mixed, "key", "left_semi").dropDuplicates(["key", "seg"])
+    finer = scratch.keep(finer, f"kinds{level + 1}")
+    found = scratch.keep(whole.unionByName(_repeated(finer, length, gram, scratch, level + 1)), f"found{level}")
+    back = place.join(found, ["key", "seg"]).select(F.col("okey").alias("key"), F.col("oseg").alias("seg"), (F.col("shift") + F.col("a")).alias("a"), (F.col("shift") + F.col("b")).alias("b"))
+    return within.unionByName(back)
 
 
 def _cut(docs: DataFrame, marks: DataFrame, length: int) -> DataFrame:
@@ -254,15 +309,14 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, g
     opened = kinds.filter("mixed").select("one.*", "key", "seg")
     opened = scratch.keep(opened.groupBy("doc_id", "h").agg(F.collect_list(F.struct("s", "e", "key", "seg")).alias("runs")), "opened")
     pieces = scratch.keep(_pieces(docs, opened, length), "pieces")
-    large = kinds.filter("mixed").groupBy("key").agg(F.sum(F.col("one.e") - F.col("one.s") + length).alias("n")).filter(F.col("n") > KEY_BYTES).select("key")
-    large = scratch.sized(scratch.keep(large, "large"), "large")
-    parts = _within_keys(pieces.join(large, "key", "left_anti"), length).unionByName(_across(pieces.join(large, "key", "left_semi"), length, scratch))
+    anew = {"at": F.lit(None).cast("int"), "lo": F.lit(0), "hi": F.lit(length - gram)}
+    parts = _repeated(pieces.withColumns({"n": F.length("piece"), **anew}), length, gram, scratch)
     # a row for each kind of segment, so that a hit meets one; a whole one needs no parts
     both = whole.withColumn("whole", F.lit(True)).unionByName(parts.withColumn("whole", F.lit(False)))
     span = F.struct("a", "b")
     runs = both.groupBy("key", "seg").agg(F.max(F.when(F.col("whole"), span)).alias("all"), F.collect_list(F.when(~F.col("whole"), span)).alias("some"))
     runs = scratch.keep(runs.select("key", "seg", F.when(F.col("all").isNotNull(), F.array("all")).otherwise(F.col("some")).alias("of")), "runs")
-    scratch.drop("kinds", "opened", "pieces", "large")
+    scratch.drop("kinds", "opened", "pieces")
     placed = F.transform("of", lambda x: F.struct((F.col("s") + x["a"]).alias("s"), (F.col("s") + x["b"]).alias("e")))
     marks = hits.join(runs, ["key", "seg"]).select("doc_id", "h", placed.alias("of"))
     marks = scratch.keep(marks.groupBy("doc_id", "h").agg(F.array_distinct(F.flatten(F.collect_set("of"))).alias("runs")), "marks")

@@ -53,3 +53,15 @@ def test_random_repeats(spark, monkeypatch, seed, shard, key):
     pool = [noise(n) for n in (30, 60, 150, 199, 200, 201, 260, 500)] + ["ab" * 170, "x" * 230, "x" * 199]
     rows = [(i, "".join(rng.choice([rng.choice(pool), noise(rng.randrange(80))]) for _ in range(rng.randrange(9))), "en", "a", 0) for i in range(120)]
     check(repeats.remove_repeats(spark, documents(spark, rows)), [r[:2] for r in rows], 200)
+
+
+def test_passage_with_many_neighbours(spark, monkeypatch):
+    """A passage that thousands of different texts hold: its keys are too large for one index."""
+    levels, narrowed = [], repeats._narrowed
+    monkeypatch.setattr(repeats, "_narrowed", lambda *a: levels.append(1) or narrowed(*a))
+    rng = random.Random(9)
+    noise = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passage = noise(260)
+    rows = [(i, noise(rng.randrange(90, 150)) + passage + noise(rng.randrange(90, 150)), "en", "a", 0) for i in range(6000)] + [(6000, passage[:230], "en", "a", 0), (6001, "y" * 300000 + passage, "en", "a", 0)]
+    check(repeats.remove_repeats(spark, documents(spark, rows)), [r[:2] for r in rows], 200)
+    assert 2 <= len(levels) <= 8
