@@ -178,6 +178,27 @@ def _within_keys(pieces: DataFrame, length: int) -> DataFrame:
     return grouped.mapInArrow(find, _RUNS)
 
 
+def _merged(runs: DataFrame) -> DataFrame:
+    """Runs (_RUNS) with those of a kind that touch or overlap put together, one number for each meanwhile."""
+
+    @released
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column(2)).to_numpy())
+            both = batch.column(2).flatten().to_numpy()
+            first, low = both >> 32, (1 << 32) - 1
+            reach = np.maximum.accumulate((own << 32) | (both & low))
+            new = np.ones(len(both), dtype=bool)
+            new[1:] = (own[1:] != own[:-1]) | (first[1:] > (reach[:-1] & low) + 1)
+            begin = np.flatnonzero(new)
+            end = np.append(begin[1:], len(both)) - 1
+            row = pa.array(own[begin])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(first[begin].astype(np.int32)), pa.array((reach[end] & low).astype(np.int32))], ["key", "seg", "a", "b"])
+
+    both = F.shiftleft(F.col("a").cast("long"), 32).bitwiseOR(F.col("b").cast("long"))
+    return runs.groupBy("key", "seg").agg(F.sort_array(F.collect_list(both)).alias("runs")).mapInArrow(find, _RUNS)
+
+
 def _anchors(piece: bytes, length: int, gram: int) -> Iterator[tuple[int, int, int]]:
     """First and last window start and anchor: the first place in these windows of their least hash."""
     with np.errstate(over="ignore"):
@@ -262,7 +283,7 @@ def _repeated(kinds: DataFrame, length: int, gram: int, scratch: Scratch, level:
     finer = scratch.keep(finer, f"kinds{level + 1}")
     found = scratch.keep(whole.unionByName(_repeated(finer, length, gram, scratch, level + 1)), f"found{level}")
     back = place.join(found, ["key", "seg"]).select(F.col("okey").alias("key"), F.col("oseg").alias("seg"), (F.col("shift") + F.col("a")).alias("a"), (F.col("shift") + F.col("b")).alias("b"))
-    return within.unionByName(back)
+    return within.unionByName(_merged(back))
 
 
 def _cut(docs: DataFrame, marks: DataFrame, length: int) -> DataFrame:

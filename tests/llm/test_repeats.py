@@ -62,6 +62,6 @@ def test_passage_with_many_neighbours(spark, monkeypatch):
     rng = random.Random(9)
     noise = lambda n: "".join(rng.choices("abcdefgh ", k=n))
     passage = noise(260)
-    rows = [(i, noise(rng.randrange(90, 150)) + passage + noise(rng.randrange(90, 150)), "en", "a", 0) for i in range(6000)] + [(6000, passage[:230], "en", "a", 0), (6001, "y" * 300000 + passage, "en", "a", 0)]
+    rows = [(i, noise(rng.randrange(90, 150)) + passage + noise(rng.randrange(90, 150)), "en", "a", 0) for i in range(6000)] + [(6000, passage[:230], "en", "a", 0), (6001, "y" * 700000 + passage, "en", "a", 0)]
     check(repeats.remove_repeats(spark, documents(spark, rows)), [r[:2] for r in rows], 200)
     assert 2 <= len(levels) <= 8
